@@ -125,3 +125,24 @@ def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embedding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         "vec_id", F.col("embedding").cast("array<double>").alias("features"), "label")
+
+
+def pages_as_dump_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dump-shaped rows from ``pages``: title = url, id = page_id, and two
+    revisions whose ids equal other pages' ids (page_id + 1, page_id + 2);
+    the older one holds a prefix of the html, the newer one the html."""
+    pages = table(spark, sf_dir, "pages")
+
+    def rev(offset, text):
+        return F.struct((F.col("page_id") + F.lit(offset)).alias("id"),
+                        F.struct(text.alias("_VALUE")).alias("text"))
+
+    return pages.select(F.col("url").alias("title"), F.lit(0).alias("ns"),
+                        F.col("page_id").alias("id"),
+                        F.array(rev(1, F.substring("html", 1, 16)), rev(2, F.col("html"))).alias("revision"))
+
+
+def write_dump(rows: DataFrame, path: str) -> str:
+    (rows.write.mode("overwrite").format("xml")
+         .option("rootTag", "mediawiki").option("rowTag", "page").save(path))
+    return path

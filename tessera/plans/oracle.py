@@ -177,8 +177,8 @@ def sql() -> dict[str, str]:
         f"SELECT doc_id, {expr} AS file_name FROM documents" for expr in (
             "'id_' || CAST(doc_id AS VARCHAR) || '.txt'", "'id_' || CAST(doc_id AS VARCHAR)",
             "'id_' || CAST(doc_id AS VARCHAR) || '.tar.gz'", "'id_x' || CAST(doc_id AS VARCHAR) || '.txt'"))
-    q["doc_id_from_path"] = (f"SELECT doc_id, file_name, TRY_CAST(regexp_extract(file_name, "
-                             f"{_q(P.ID_FROM_FILE_NAME)}, 1) AS BIGINT) AS parsed_id FROM ({names})")
+    q["doc_id_from_path"] = (f"SELECT doc_id, file_name, CAST(TRY_CAST(regexp_extract(file_name, "
+                             f"{_q(P.ID_FROM_FILE_NAME)}, 1) AS BIGINT) AS VARCHAR) AS parsed_id FROM ({names})")
     q["path_from_doc_id"] = "SELECT doc_id, 'id_' || CAST(doc_id AS VARCHAR) || '.txt' AS file_name FROM documents"
     q["get_doc_by_id"] = (f"SELECT doc_id, array_to_string(list_filter({tokens_of('text')}, "
                           f"lambda w: NOT list_contains({STOP_LIST}, w)), ' ') AS words FROM documents WHERE doc_id = 42")

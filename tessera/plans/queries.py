@@ -173,7 +173,8 @@ def doc_id_from_path(spark, sf):
                                                         F.lit(".tar.gz")).alias("file_name")))
              .unionByName(ids.select("doc_id", F.concat(F.lit("id_x"), F.col("doc_id").cast("string"),
                                                         F.lit(".txt")).alias("file_name"))))
-    return names.select("doc_id", "file_name", T.doc_id_from_file_name("file_name").alias("parsed_id"))
+    return names.select("doc_id", "file_name",
+                        T.doc_id_from_file_name("file_name").cast("string").alias("parsed_id"))
 
 
 def path_from_doc_id(spark, sf):
@@ -433,7 +434,9 @@ def pad_label_list(spark, sf):
 
 
 def _units_long(df, col):
-    return df.select("vec_id", F.posexplode(col).alias("unit", "value")).select(
+    # posexplode_outer: the non-outer form makes the optimizer add a
+    # size(...) > 0 filter that re-evaluates the whole array expression.
+    return df.select("vec_id", F.posexplode_outer(col).alias("unit", "value")).select(
         "vec_id", F.col("unit").cast("long").alias("unit"), _r("value").alias("value"))
 
 
@@ -470,8 +473,8 @@ def conv_filters(spark, sf, n=CONV_FILTERS, width=CONV_WIDTH, offset=0):
 def conv_pool_1d(spark, sf):
     emb = FX.embedding_rows(spark, sf).withColumn("maps", F.array(F.col("features")))
     out = LN.conv_layer(emb, conv_filters(spark, sf), "maps", "pooled", CONV_POOL)
-    return (out.select("vec_id", F.posexplode("pooled").alias("filter", "vals"))
-               .select("vec_id", "filter", F.posexplode("vals").alias("pos", "value"))
+    return (out.select("vec_id", F.posexplode_outer("pooled").alias("filter", "vals"))
+               .select("vec_id", "filter", F.posexplode_outer("vals").alias("pos", "value"))
                .select("vec_id", F.col("filter").cast("long").alias("filter"),
                        F.col("pos").cast("long").alias("pos"), _r("value").alias("value")))
 

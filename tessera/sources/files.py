@@ -35,7 +35,7 @@ def read_whole_files(spark: SparkSession, path: str, id_from: str = "file_name",
     Many small files should be read once this way and kept as Parquet keyed
     by ``doc_id``; Spark packs several small files into one task.
     """
-    raw = spark.read.option("wholetext", "true").text(path)
+    raw = spark.read.text(path, wholetext=True)
     value = F.col("value")
     if strip_final_newline:
         value = _drop_final_newline(value)
@@ -53,7 +53,7 @@ def scan_documents(spark: SparkSession, path: str, id_from: str = "file_name",
 def scan_doc_lines(spark: SparkSession, path: str, id_from: str = "file_name",
                    strip_final_newline: bool = True) -> DataFrame:
     """``(doc_id, file_name, line_no, line)``: every line of every file, in order."""
-    raw = spark.read.option("wholetext", "true").text(path)
+    raw = spark.read.text(path, wholetext=True)
     value = F.col("value")
     if strip_final_newline:
         value = _drop_final_newline(value)

@@ -12,6 +12,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 PAGE = "page"
 SUBCAT = "subcat"
 
@@ -70,19 +72,20 @@ def descent_categories(links: DataFrame, page: DataFrame, seeds, max_depth: int
     Level by level: a category is kept at the least depth it is first met
     (anti-join against what was already visited), which reaches exactly the
     categories a walk without a visited set reaches, and ends on cycles.
-    Each level is checkpointed so lineage stays short and a lost executor
-    recomputes at most one level.
+    Each level is written to the shared checkpoint folder so lineage stays
+    short, a lost executor recomputes at most one level, and the planner
+    sees each frontier's real size (small frontiers are broadcast).
     """
     spark = links.sparkSession
-    edges = subcategory_edges(links, page).checkpoint(eager=True)
-    frontier = _seed_frame(spark, seeds).distinct().checkpoint(eager=True)
+    edges = materialize(subcategory_edges(links, page), "subcat-edges")
+    frontier = materialize(_seed_frame(spark, seeds).distinct(), "frontier")
     levels = [frontier.withColumn("depth", F.lit(0))]
     visited = frontier
     for depth in range(1, max_depth + 1):
         nxt = (frontier.join(edges, frontier["category"] == edges["parent"], "inner")
                        .select(F.col("child").alias("category")).distinct()
-                       .join(visited, "category", "left_anti")
-                       .checkpoint(eager=True))
+                       .join(visited, "category", "left_anti"))
+        nxt = materialize(nxt, "frontier")
         if nxt.isEmpty():
             break
         levels.append(nxt.withColumn("depth", F.lit(depth)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 
@@ -17,19 +17,19 @@ def dense_index(df: DataFrame, order_cols, index_col: str = "idx") -> DataFrame:
     result to be deterministic.
 
     Plan: a range-partitioned sort (distributed), then each row is tagged with
-    its partition id and in-partition row number; the tagged rows are
-    checkpointed to the shared checkpoint folder so that the counting pass and
-    the numbering pass see the same partitions, and survive executor loss.
-    The per-partition counts are one row per partition (bounded by the
-    partition count, never by the data), so their prefix sums are computed in
-    one small task and broadcast back.
+    its sort partition id and in-partition row number, and the tagged rows
+    are written once to the shared checkpoint folder. Both later passes read
+    the stored tags, so they agree however the files are split on reading,
+    and a lost executor cannot change the numbering. The per-partition
+    counts are one row per sort partition (bounded by the partition count,
+    never by the data), so their prefix sums run in one small task and are
+    broadcast back.
     """
-    ensure_checkpoint_dir(df.sparkSession)
     cols = df.columns
-    tagged = (df.orderBy(*order_cols)
-                .select("*", F.spark_partition_id().alias("_pid"),
-                        F.monotonically_increasing_id().alias("_mid"))
-                .checkpoint(eager=True))
+    tagged = materialize(df.orderBy(*order_cols)
+                           .select("*", F.spark_partition_id().alias("_pid"),
+                                   F.monotonically_increasing_id().alias("_mid")),
+                         "dense-index")
     prior = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
                      .select("_pid", F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_off")))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import text as TX
+from ..session import materialize, spread
 from ..operators import vectors as V
 
 ROOT_CATEGORY = "ROOT"
@@ -26,8 +27,14 @@ REGION_BASE, NATION_BASE, CUSTOMER_BASE, SUPPLIER_BASE, ORDER_BASE = (
 SPLICE_MARKS = " [1] [x] [12]b [[3]] [] "
 
 
+# Tables whose rows carry long text: CPU-heavy per row, so spread them over
+# all cores when the file gives too few partitions.
+TEXT_TABLES = frozenset({"documents", "pages", "conversations", "benchmark"})
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def _key(c: str, base: int):
@@ -100,11 +107,16 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_vectors(spark: SparkSession, sf_dir: str, vocab: DataFrame | None = None) -> DataFrame:
-    """W1: ``(word, vector ARRAY<DOUBLE>)``."""
+    """W1: ``(word, vector ARRAY<DOUBLE>)``.
+
+    Stored like the saved word-vector artifact it stands for, so later joins
+    plan with its real size (a derived join result has no usable estimate).
+    """
     vocab = vocabulary(spark, sf_dir) if vocab is None else vocab
     emb = table(spark, sf_dir, "embeddings").select(
         "vec_id", F.col("embedding").cast("array<double>").alias("vector"))
-    return vocab.join(emb, F.col("idx") == F.col("vec_id"), "inner").select("word", "vector")
+    w1 = vocab.join(emb, F.col("idx") == F.col("vec_id"), "inner").select("word", "vector")
+    return materialize(w1, "word-vectors")
 
 
 def embedding_dim(spark: SparkSession, sf_dir: str) -> int:

@@ -65,3 +65,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint root for written tables."""
     root = ensure_checkpoint_dir(spark)
     return os.path.join(root, "tables", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def spread(df, min_partitions: int | None = None):
+    """Round-robin repartition only when ``df`` has fewer partitions than cores.
+
+    A source stored as one file / one row group is read by one task, which
+    would serialise CPU-heavy text work (regex tokenising, cleaning). On a
+    cluster reading many files the scan already has enough partitions and
+    this is a no-op, so no shuffle is added at scale. Filters and column
+    pruning still reach the scan below a repartition.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
+def materialize(df, name: str):
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
+
+    Cuts lineage like ``checkpoint()`` (and survives executor loss, the
+    files live on shared storage), but unlike an RDD checkpoint the result
+    carries real size statistics, so the planner can still decide correctly
+    which join side is small enough to broadcast.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -78,15 +78,15 @@ def descent_categories(links: DataFrame, page: DataFrame, seeds, max_depth: int
     """
     spark = links.sparkSession
     edges = materialize(subcategory_edges(links, page), "subcat-edges")
-    frontier = materialize(_seed_frame(spark, seeds).distinct(), "frontier")
+    frontier = _seed_frame(spark, seeds).distinct()
     levels = [frontier.withColumn("depth", F.lit(0))]
     visited = frontier
     for depth in range(1, max_depth + 1):
         nxt = (frontier.join(edges, frontier["category"] == edges["parent"], "inner")
                        .select(F.col("child").alias("category")).distinct()
                        .join(visited, "category", "left_anti"))
-        nxt = materialize(nxt, "frontier")
-        if nxt.isEmpty():
+        nxt, n = materialize(nxt, "frontier", count=True)
+        if n == 0:
             break
         levels.append(nxt.withColumn("depth", F.lit(depth)))
         visited = visited.unionByName(nxt)

@@ -17,14 +17,27 @@ def build_vocabulary(tokens: DataFrame, min_count: int = P.W2V_MIN_COUNT,
     Counting is a partial + final hash aggregate, so a very frequent word is
     combined map-side before the shuffle and never lands as one hot group.
     """
-    counts = (tokens.groupBy(word_col).agg(F.count(F.lit(1)).alias("count"))
-                    .filter(F.col("count") >= min_count))
-    vocab = dense_index(counts, [F.col("count").desc(), F.col(word_col)], "idx")
+    counts = tokens.groupBy(word_col).agg(F.count(F.lit(1)).alias("count"))
+    return vocabulary_from_counts(counts, min_count, max_size, word_col)
+
+
+def vocabulary_from_counts(counts: DataFrame, min_count: int = P.W2V_MIN_COUNT,
+                           max_size: int | None = None, word_col: str = "word",
+                           count_col: str = "count") -> DataFrame:
+    """As :func:`build_vocabulary`, from ``(word, count)`` already aggregated
+    (e.g. summed from a term-frequency table, so the corpus is tokenised once)."""
+    kept = (counts.select(word_col, F.col(count_col).cast("long").alias("count"))
+                  .filter(F.col("count") >= min_count))
+    vocab = dense_index(kept, [F.col("count").desc(), F.col(word_col)], "idx")
     if max_size is not None:
         vocab = vocab.filter(F.col("idx") < max_size)
     return vocab
 
 
+def counts_from_tf(tf: DataFrame, word_col: str = "word") -> DataFrame:
+    return tf.groupBy(word_col).agg(F.sum("tf").cast("long").alias("count"))
+
+
 def lookup_word_vectors(tokens: DataFrame, vectors: DataFrame, word_col: str = "word") -> DataFrame:
     """Inner lookup: unknown words drop out, repeats stay.
 
@@ -40,9 +53,22 @@ def term_frequencies(tokens: DataFrame, id_col: str = "doc_id", word_col: str =
     return tokens.groupBy(id_col, word_col).agg(F.count(F.lit(1)).cast("double").alias("tf"))
 
 
-def mean_embedding(docs: DataFrame, tokens: DataFrame, vectors: DataFrame, dim: int,
+def mean_embedding(docs: DataFrame, tokens: DataFrame, vectors: DataFrame, dim,
                    id_col: str = "doc_id", word_col: str = "word", vector_col: str = "vector",
                    out_col: str = "features") -> DataFrame:
+    """See :func:`mean_embedding_tf`; ``tokens`` is the long token form."""
+    return mean_embedding_tf(docs, term_frequencies(tokens, id_col, word_col), vectors, dim,
+                             id_col, word_col, vector_col, out_col)
+
+
+def vector_width(vectors: DataFrame, vector_col: str = "vector"):
+    """Width of the vector table as a scalar subquery (no driver round trip)."""
+    return vectors.select(F.coalesce(F.max(F.size(vector_col)), F.lit(0))).scalar()
+
+
+def mean_embedding_tf(docs: DataFrame, tf: DataFrame, vectors: DataFrame, dim=None,
+                      id_col: str = "doc_id", word_col: str = "word", vector_col: str = "vector",
+                      out_col: str = "features") -> DataFrame:
     """Occurrence-weighted mean of the known-word vectors per document.
 
     Only known words count in the divisor; a document with none (or no
@@ -52,7 +78,6 @@ def mean_embedding(docs: DataFrame, tokens: DataFrame, vectors: DataFrame, dim:
     with map-side combining; the final regroup per document holds exactly
     ``dim`` values, a bound fixed by the model, not by the data.
     """
-    tf = term_frequencies(tokens, id_col, word_col)
     known = tf.join(vectors.select(word_col, vector_col), word_col, "inner")
     per_dim = (known.select(id_col, "tf", F.posexplode(vector_col).alias("_dim", "_v"))
                     .groupBy(id_col, "_dim")
@@ -60,7 +85,8 @@ def mean_embedding(docs: DataFrame, tokens: DataFrame, vectors: DataFrame, dim:
     means = (per_dim.groupBy(id_col)
                     .agg(F.array_sort(F.collect_list(F.struct("_dim", "_x"))).alias("_s"))
                     .select(id_col, F.transform("_s", lambda e: e["_x"]).alias("_mean")))
-    zeros = F.array_repeat(F.lit(0.0), dim)
+    width = vector_width(vectors, vector_col) if dim is None else dim
+    zeros = F.array_repeat(F.lit(0.0), width)
     return (docs.select(id_col).join(means, id_col, "left")
                 .select(id_col, F.coalesce("_mean", zeros).alias(out_col)))
 

@@ -126,12 +126,17 @@ def embedding_dim(spark: SparkSession, sf_dir: str) -> int:
 
 
 def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P1: ``(unit, w ARRAY<DOUBLE>, b)`` = per-label mean embedding, bias 0."""
+    """P1: ``(unit, w ARRAY<DOUBLE>, b)`` = per-label mean embedding, bias 0.
+
+    Stored once, like a saved weight table, so the size check and the
+    scoring read it instead of re-aggregating the embeddings.
+    """
     emb = table(spark, sf_dir, "embeddings").select(
         "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    return (emb.groupBy("label").agg(Summarizer.mean(F.col("v")).alias("m"))
-               .select(F.col("label").cast("int").alias("unit"), vector_to_array("m").alias("w"),
-                       F.lit(0.0).alias("b")))
+    p1 = (emb.groupBy("label").agg(Summarizer.mean(F.col("v")).alias("m"))
+             .select(F.col("label").cast("int").alias("unit"), vector_to_array("m").alias("w"),
+                     F.lit(0.0).alias("b")))
+    return materialize(p1, "class-weights")
 
 
 def embedding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,12 +63,13 @@ def _encoded(spark, sf, with_doc_fields=True):
 
 
 def _doc_vectors(spark, sf):
+    """Documents -> mean word vectors. The corpus is tokenised once: the
+    term-frequency table feeds both the vocabulary counts and the means."""
     docs = _t(spark, sf, "documents").select("doc_id", "text")
-    tokens = TX.tokens_long(docs)
-    vocab = V.build_vocabulary(tokens)
+    tf = V.term_frequencies(TX.tokens_long(docs)).persist()
+    vocab = V.vocabulary_from_counts(V.counts_from_tf(tf))
     w1 = FX.word_vectors(spark, sf, vocab)
-    dim = FX.embedding_dim(spark, sf)
-    return V.mean_embedding(docs, tokens, w1, dim)
+    return V.mean_embedding_tf(docs, tf, w1)
 
 
 def _emb_scored(spark, sf):

@@ -80,15 +80,24 @@ def spread(df, min_partitions: int | None = None):
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
 
-def materialize(df, name: str):
+def materialize(df, name: str, count: bool = False):
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
     Cuts lineage like ``checkpoint()`` (and survives executor loss, the
     files live on shared storage), but unlike an RDD checkpoint the result
     carries real size statistics, so the planner can still decide correctly
     which join side is small enough to broadcast.
+
+    With ``count=True`` returns ``(frame, rows)``; the row count is observed
+    during the same write job (no second pass).
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if count:
+        from pyspark.sql import Observation
+        from pyspark.sql import functions as F
+        obs = Observation(f"rows-{name}")
+        df.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path), int(obs.get["n"])
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -409,7 +409,8 @@ def tokenize(spark, sf):
 
 def lemmatize_nouns(spark, sf):
     tokens = FX.document_tokens(spark, sf)
-    words = tokens.select("word").distinct()
+    # the corpus words are both the words to map and the lexicon
+    words = tokens.select("word").distinct().persist()
     return TX.noun_lemma_map(words, words)
 
 

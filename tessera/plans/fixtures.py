@@ -147,7 +147,7 @@ def embedding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pages_as_dump_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dump-shaped rows from ``pages``: title = url, id = page_id, and two
     revisions whose ids equal other pages' ids (page_id + 1, page_id + 2);
-    the older one holds a prefix of the html, the newer one the html."""
+    the older revision holds the url, the newer one the whole html."""
     pages = table(spark, sf_dir, "pages")
 
     def rev(offset, text):
@@ -156,7 +156,7 @@ def pages_as_dump_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return pages.select(F.col("url").alias("title"), F.lit(0).alias("ns"),
                         F.col("page_id").alias("id"),
-                        F.array(rev(1, F.substring("html", 1, 16)), rev(2, F.col("html"))).alias("revision"))
+                        F.array(rev(1, F.col("url")), rev(2, F.col("html"))).alias("revision"))
 
 
 def write_dump(rows: DataFrame, path: str) -> str:

@@ -20,9 +20,12 @@ def spark():
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
-         .config("spark.checkpoint.dir", os.path.join(scratch, "ckpt"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
+    # the shared folder named by spark.checkpoint.dir is used when the
+    # environment sets it; only an unset setting gets a test folder
+    if not s.sparkContext.getCheckpointDir() and not s.conf.get("spark.checkpoint.dir", None):
+        s.conf.set("spark.checkpoint.dir", os.path.join(scratch, "ckpt"))
     from tessera.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(s)
     yield s

@@ -28,13 +28,15 @@ SPLICE_MARKS = " [1] [x] [12]b [[3]] [] "
 
 
 # Tables whose rows carry long text: CPU-heavy per row, so spread them over
-# all cores when the file gives too few partitions.
-TEXT_TABLES = frozenset({"documents", "pages", "conversations", "benchmark"})
+# all cores when the file gives too few partitions, hash-partitioned on their
+# id so per-document aggregates and joins downstream need no further shuffle
+# (what bucketing the table by that id gives on a cluster).
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "benchmark": "item_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    return spread(df) if name in TEXT_TABLES else df
+    return spread(df, key=TEXT_TABLES[name]) if name in TEXT_TABLES else df
 
 
 def _key(c: str, base: int):

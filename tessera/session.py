@@ -67,17 +67,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(root, "tables", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def spread(df, min_partitions: int | None = None):
-    """Round-robin repartition only when ``df`` has fewer partitions than cores.
+def spread(df, min_partitions: int | None = None, key: str | None = None):
+    """Repartition only when ``df`` has fewer partitions than cores.
 
     A source stored as one file / one row group is read by one task, which
     would serialise CPU-heavy text work (regex tokenising, cleaning). On a
     cluster reading many files the scan already has enough partitions and
     this is a no-op, so no shuffle is added at scale. Filters and column
     pruning still reach the scan below a repartition.
+
+    With ``key`` the rows are hash-partitioned on it instead of dealt
+    round-robin: every later aggregate or join keyed by it (or by it plus
+    more columns) then needs no shuffle — the same plan a table bucketed on
+    that key gives on a cluster.
     """
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key) if key else df.repartition(target)
 
 
 def materialize(df, name: str, count: bool = False):

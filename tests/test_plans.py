@@ -35,3 +35,20 @@ def test_scan_reads_only_used_columns(spark):
 def test_keyset_paging_is_top_k(spark):
     plan = executed_plan(E.queries()["take_batch"](spark, SF001))
     assert "TakeOrderedAndProject" in plan and "GreaterThan(doc_id,100)" in plan
+
+
+def test_bucketed_documents_need_no_shuffle_per_document(spark, tmpdir_path):
+    import os
+
+    from tessera.operators import text as TX
+    from tessera.operators import vectors as V
+    from tessera.plans import fixtures as FX
+    from tessera.sinks import writers as W
+
+    docs = FX.table(spark, SF001, "documents").select("doc_id", "text")
+    W.write_documents_bucketed(docs, "docs_bucketed", 4, path=os.path.join(tmpdir_path, "docs_b"))
+    stored = spark.table("docs_bucketed")
+    tf = V.term_frequencies(TX.tokens_long(stored))
+    plan = executed_plan(tf)
+    assert "Exchange" not in plan, plan
+    assert tf.count() > 0

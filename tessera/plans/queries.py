@@ -523,7 +523,7 @@ def vectorizer_plugin(spark, sf):
     from ..operators import ml as ML
     docs = _t(spark, sf, "documents").select("doc_id", "text")
     tokens = TX.tokens_long(docs, stop_words=P.ENGLISH_STOP_WORDS)
-    feats = ML.vectorize(tokens, ML.tfidf_vectorizer())
+    feats = ML.vectorize(tokens, ML.tfidf_plugin())
     return feats.select("doc_id", "word", F.col("tf").cast("long").alias("tf"), _r("tfidf").alias("tfidf"))
 
 

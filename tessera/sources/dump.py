@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-NAMESPACE = "http://www.mediawiki.org/xml/export-0.10/"
 
 REVISION = T.StructType([
     T.StructField("id", T.LongType()),

@@ -36,3 +36,21 @@ def clean_folder(spark: SparkSession, in_dir: str, out_dir: str, checkpoint_loca
               .outputMode("append"))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start(out_dir)
+
+
+def running_word_counts(spark: SparkSession, in_dir: str, stop_words=None,
+                        max_files_per_trigger: int = 1000) -> DataFrame:
+    """Streaming ``(word, count)`` over every document that has landed so far.
+
+    The vocabulary counts of a growing corpus: tokens of each new file are
+    combined map-side and merged into the state store per word, so a very
+    frequent word never becomes one hot group of rows. Write it with output
+    mode ``update`` (changed counts per micro-batch) or ``complete``.
+    """
+    docs = document_stream(spark, in_dir, max_files_per_trigger).select(
+        "doc_id", T.clean_document("text").alias("text"))
+    toks = T.tokenize("text")
+    if stop_words is not None:
+        toks = T.remove_stopwords(toks, stop_words)
+    words = docs.select(F.explode(toks).alias("word"))
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("count"))

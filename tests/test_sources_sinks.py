@@ -72,3 +72,21 @@ def test_streaming_folder(spark, tmpdir_path):
     q.awaitTermination(120)
     got = {r["doc_id"]: r["text"] for r in spark.read.parquet(out).collect()}
     assert got == {1: "hello \nX", 2: "world"}
+
+
+def test_streaming_running_word_counts(spark, tmpdir_path):
+    from tessera.streaming import folder as ST
+    src = os.path.join(tmpdir_path, "in")
+    os.makedirs(src)
+    with open(os.path.join(src, "id_1.txt"), "w") as f:
+        f.write("T\nthe cat the hat")
+    counts = ST.running_word_counts(spark, src, stop_words=["the"])
+    q = (counts.writeStream.format("memory").queryName("wc_test").outputMode("complete")
+         .option("checkpointLocation", os.path.join(tmpdir_path, "ck")).start())
+    q.processAllAvailable()
+    with open(os.path.join(src, "id_2.txt"), "w") as f:
+        f.write("U\ncat and dog")
+    q.processAllAvailable()
+    got = {r["word"]: r["count"] for r in spark.table("wc_test").collect()}
+    q.stop()
+    assert got == {"cat": 2, "hat": 1, "and": 1, "dog": 1}

@@ -63,3 +63,13 @@ def test_total_words_after_stopwords(spark):
     assert TX.total_words(toks).first()[0] == 2
     lists = {r["doc_id"]: r["tokens"] for r in TX.regroup_tokens(toks).collect()}
     assert lists == {1: ["cat", "hat"]}
+
+
+def test_mean_vector_plugin_equals_operator(spark):
+    from tessera.operators import ml as ML
+    docs = spark.createDataFrame([(1, "x y x"), (2, "y")], "doc_id long, text string")
+    vectors = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.0, 3.0])], "word string, vector array<double>")
+    toks = TX.tokens_long(docs)
+    a = {r["doc_id"]: r["features"] for r in ML.vectorize(toks, ML.mean_vector_plugin(vectors, 2)).collect()}
+    b = {r["doc_id"]: r["features"] for r in V.mean_embedding(docs, toks, vectors, 2).collect()}
+    assert a == b

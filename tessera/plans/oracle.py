@@ -132,21 +132,38 @@ CLEAN_TOKS = f"""ct AS (SELECT doc_id, unnest({tokens_of(clean('text'))}) AS wor
 cts AS (SELECT * FROM ct WHERE NOT list_contains({STOP_LIST}, word))"""
 
 
-def _lemma_sql() -> str:
+def _lemma_ctes() -> list[str]:
+    """Candidates from the suffix rules over CTE ``words``; ``best`` = the winner."""
     parts = ["SELECT word, 0 AS rule, word AS cand FROM words"]
     for i, (suf, rep) in enumerate(P.NOUN_SUFFIX_RULES, start=1):
         parts.append(f"SELECT word, {i}, left(word, length(word) - {len(suf)}) || {_q(rep)} "
                      f"FROM words WHERE suffix(word, {_q(suf)})")
     cands = "\n  UNION ALL ".join(parts)
-    return with_(
-        f"words AS (SELECT DISTINCT w AS word FROM (SELECT unnest({tokens_of('text')}) AS w FROM documents))",
+    return [
         f"cands AS ({cands})",
         "hits AS (SELECT * FROM cands WHERE length(cand) > 0 AND cand IN (SELECT word FROM words))",
         """best AS (SELECT word, cand AS lemma FROM (SELECT word, cand,
     row_number() OVER (PARTITION BY word ORDER BY length(cand), rule) AS rn FROM hits) WHERE rn = 1)""",
+    ]
+
+
+def _lemma_sql() -> str:
+    return with_(
+        f"words AS (SELECT DISTINCT w AS word FROM (SELECT unnest({tokens_of('text')}) AS w FROM documents))",
+        *_lemma_ctes(),
     ) + "SELECT w.word, coalesce(b.lemma, w.word) AS lemma FROM words w LEFT JOIN best b USING (word)"
 
 
+def _lemma_vocabulary_sql() -> str:
+    return with_(
+        CLEAN_TOKS,
+        "words AS (SELECT DISTINCT word FROM cts)",
+        *_lemma_ctes(),
+        "lem AS (SELECT coalesce(b.lemma, c.word) AS word FROM cts c LEFT JOIN best b USING (word))",
+    ) + ("SELECT word, n, row_number() OVER (ORDER BY n DESC, word) - 1 AS idx "
+         "FROM (SELECT word, count(*) AS n FROM lem GROUP BY word HAVING count(*) >= 5)")
+
+
 def _ints(expr: str) -> str:
     return f"array_to_string({expr}, ',')"
 
@@ -258,6 +275,7 @@ def sql() -> dict[str, str]:
     q["tokenize"] = (f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, array_to_string(t, ' ') AS tokens "
                      f"FROM (SELECT doc_id, {tokens_of('text')} AS t FROM documents)")
     q["lemmatize_nouns"] = _lemma_sql()
+    q["lemma_corpus_vocabulary"] = _lemma_vocabulary_sql()
     q["markup_to_plain"] = f"SELECT page_id, {html_plain('html')} AS plain FROM pages"
     q["compose_document"] = f"SELECT p_partkey, concat_ws({NL}, p_name, p_type) AS doc FROM part"
     q["decode_bytes"] = (f"SELECT doc_id, decode(encode(text)) AS utf8, "

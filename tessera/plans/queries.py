@@ -321,6 +321,15 @@ def clean_corpus_vocabulary(spark, sf):
         "word", F.col("count").cast("long").alias("n"), "idx")
 
 
+def lemma_corpus_vocabulary(spark, sf):
+    """The full token pipeline: clean -> tokenize -> stop words -> noun
+    lemmas (lexicon = the corpus's own words) -> vocabulary."""
+    toks = _clean_tokens(spark, sf)
+    words = toks.select("word").distinct().persist()
+    lemmas = TX.lemmatize_long(toks, TX.noun_lemma_map(words, words))
+    return V.build_vocabulary(lemmas).select("word", F.col("count").cast("long").alias("n"), "idx")
+
+
 def mean_embedding(spark, sf):
     vecs = _doc_vectors(spark, sf)
     return vecs.select("doc_id", F.posexplode("features").alias("dim", "value")).select(
@@ -547,6 +556,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "total_words": total_words, "label_list_stats": label_list_stats,
         "corpus_counts": corpus_counts, "build_vocabulary": build_vocabulary,
         "clean_corpus_vocabulary": clean_corpus_vocabulary,
+        "lemma_corpus_vocabulary": lemma_corpus_vocabulary,
         "mean_embedding": mean_embedding, "reduce_mean": reduce_mean,
         "weight_norms": weight_norms, "best_checkpoint": best_checkpoint,
         "best_iteration": best_iteration, "argmax_class": argmax_class,

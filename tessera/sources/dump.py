@@ -32,16 +32,19 @@ def read_dump_pages(spark: SparkSession, path: str, schema: T.StructType = PAGE_
             .schema(schema).load(path))
 
 
-def page_text(revision_col: str = "revision") -> F.Column:
-    """Text of the last revision that has one (an empty ``<text/>`` is null)."""
+def page_text(revision_col: str = "revision", which: str = "last") -> F.Column:
+    """Text of the last (streaming reader) or first (tree reader) revision
+    that has one; an empty ``<text/>`` is null."""
     with_text = F.filter(F.col(revision_col), lambda r: r["text"]["_VALUE"].isNotNull())
-    return F.try_element_at(with_text, F.lit(-1))["text"]["_VALUE"]
+    pos = {"last": -1, "first": 1}[which]
+    return F.try_element_at(with_text, F.lit(pos))["text"]["_VALUE"]
 
 
-def scan_dump(spark: SparkSession, path: str, drop_incomplete: bool = True) -> DataFrame:
+def scan_dump(spark: SparkSession, path: str, drop_incomplete: bool = True,
+              revision: str = "last") -> DataFrame:
     """``(id, title, text)`` per page: the page's own id (never a revision id)."""
     pages = read_dump_pages(spark, path).select(
-        F.col("id").alias("id"), F.col("title"), page_text().alias("text"))
+        F.col("id").alias("id"), F.col("title"), page_text("revision", revision).alias("text"))
     if drop_incomplete:
         pages = pages.dropna(subset=["id", "title", "text"])
     return pages

@@ -90,3 +90,15 @@ def test_streaming_running_word_counts(spark, tmpdir_path):
     got = {r["word"]: r["count"] for r in spark.table("wc_test").collect()}
     q.stop()
     assert got == {"cat": 2, "hat": 1, "and": 1, "dog": 1}
+
+
+def test_dump_first_or_last_revision(spark, tmpdir_path):
+    xml = ("<mediawiki><page><title>P</title><ns>0</ns><id>1</id>"
+           "<revision><id>5</id><text>old</text></revision>"
+           "<revision><id>6</id><text>new</text></revision>"
+           "<revision><id>7</id><text /></revision></page></mediawiki>")
+    p = os.path.join(tmpdir_path, "d.xml")
+    with open(p, "w") as f:
+        f.write(xml)
+    assert SD.scan_dump(spark, p).first()["text"] == "new"
+    assert SD.scan_dump(spark, p, revision="first").first()["text"] == "old"

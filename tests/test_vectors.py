@@ -7,11 +7,16 @@ from tessera.operators import text as TX
 from tessera.operators import vectors as V
 
 
-def test_dense_index_matches_python(spark):
+import pytest
+
+
+@pytest.mark.parametrize("small_rows", [0, 1_000_000])   # distributed path, single-task path
+def test_dense_index_matches_python(spark, small_rows):
     rnd = random.Random(7)
     rows = [(rnd.randint(0, 50), f"w{i}") for i in range(3000)]
     df = spark.createDataFrame(rows, "n long, w string").repartition(13)
-    got = {r["w"]: r["idx"] for r in I.dense_index(df, [F.col("n").desc(), F.col("w")]).collect()}
+    idx = I.dense_index(df, [F.col("n").desc(), F.col("w")], small_rows=small_rows)
+    got = {r["w"]: r["idx"] for r in idx.collect()}
     expect = {w: i for i, (n, w) in enumerate(sorted(rows, key=lambda t: (-t[0], t[1])))}
     assert got == expect
 

@@ -324,10 +324,16 @@ def clean_corpus_vocabulary(spark, sf):
 def lemma_corpus_vocabulary(spark, sf):
     """The full token pipeline: clean -> tokenize -> stop words -> noun
     lemmas (lexicon = the corpus's own words) -> vocabulary."""
-    toks = _clean_tokens(spark, sf)
-    words = toks.select("word").distinct().persist()
-    lemmas = TX.lemmatize_long(toks, TX.noun_lemma_map(words, words))
-    return V.build_vocabulary(lemmas).select("word", F.col("count").cast("long").alias("n"), "idx")
+    # Counts, not tokens, go through the lemma map: words are counted once
+    # (map-side combined), each distinct word is mapped, and counts are summed
+    # per lemma — the token stream is never joined, so frequent words cannot
+    # skew a join.
+    counts = _clean_tokens(spark, sf).groupBy("word").agg(F.count(F.lit(1)).alias("count")).persist()
+    words = counts.select("word")
+    lemma_counts = (counts.join(TX.noun_lemma_map(words, words), "word", "inner")
+                          .groupBy(F.col("lemma").alias("word")).agg(F.sum("count").alias("count")))
+    return V.vocabulary_from_counts(lemma_counts).select(
+        "word", F.col("count").cast("long").alias("n"), "idx")
 
 
 def mean_embedding(spark, sf):

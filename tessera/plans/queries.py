@@ -338,7 +338,7 @@ def lemma_corpus_vocabulary(spark, sf):
 
 def mean_embedding(spark, sf):
     vecs = _doc_vectors(spark, sf)
-    return vecs.select("doc_id", F.posexplode("features").alias("dim", "value")).select(
+    return vecs.select("doc_id", F.posexplode_outer("features").alias("dim", "value")).select(
         "doc_id", F.col("dim").cast("long").alias("dim"), _r("value").alias("value"))
 
 

@@ -63,7 +63,11 @@ def _seed_frame(spark: SparkSession, seeds) -> DataFrame:
         return seeds.select(F.col(seeds.columns[0]).cast("string").alias("category"))
     if isinstance(seeds, str):
         seeds = [seeds]
-    return spark.createDataFrame([(s,) for s in seeds], "category string")
+    # built from a one-row range (not an RDD of Python rows) so the planner
+    # knows the seed set is tiny and can broadcast what is derived from it
+    lits = [F.lit(str(s)) for s in seeds]
+    arr = F.array(*lits) if lits else F.array().cast("array<string>")
+    return spark.range(1).select(F.explode(arr).alias("category"))
 
 
 def descent_categories(links: DataFrame, page: DataFrame, seeds, max_depth: int = 3) -> DataFrame:

@@ -108,3 +108,19 @@ def materialize(df, name: str, count: bool = False):
         return spark.read.parquet(path), int(obs.get["n"])
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def drop_scratch(spark: SparkSession) -> bool:
+    """Delete the tables this session wrote under the checkpoint folder.
+
+    Goes through the Hadoop FileSystem of that folder, so it works for any
+    shared store the cluster names (HDFS, object stores), not just local disk.
+    Call it when the results that read those tables are no longer needed.
+    """
+    root = spark.sparkContext.getCheckpointDir()
+    if not root:
+        return False
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root + "/tables")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.delete(path, True))

@@ -102,3 +102,10 @@ def test_dump_first_or_last_revision(spark, tmpdir_path):
         f.write(xml)
     assert SD.scan_dump(spark, p).first()["text"] == "new"
     assert SD.scan_dump(spark, p, revision="first").first()["text"] == "old"
+
+
+def test_drop_scratch(spark):
+    from tessera.session import drop_scratch, materialize
+    t = materialize(spark.range(3), "scratch-test")
+    assert t.count() == 3
+    assert drop_scratch(spark)

@@ -52,3 +52,20 @@ def test_bucketed_documents_need_no_shuffle_per_document(spark, tmpdir_path):
     plan = executed_plan(tf)
     assert "Exchange" not in plan, plan
     assert tf.count() > 0
+
+
+def test_spread_adds_no_shuffle_to_a_wide_scan(spark, tmpdir_path):
+    import os
+
+    from tessera.session import spread
+    path = os.path.join(tmpdir_path, "wide")
+    spark.range(4000).withColumnRenamed("id", "doc_id").repartition(16).write.parquet(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")   # many read partitions
+    try:
+        wide = spark.read.parquet(path)
+        assert "Exchange" not in executed_plan(spread(wide, min_partitions=8))
+        narrow = spark.read.parquet(path).coalesce(1)
+        plan = executed_plan(spread(narrow, min_partitions=8, key="doc_id"))
+        assert "hashpartitioning(doc_id" in plan
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

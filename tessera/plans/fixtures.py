@@ -84,9 +84,9 @@ def label_links(spark: SparkSession, sf_dir: str, with_doc_fields: bool = True)
     if not with_doc_fields:
         return flags
     docs = table(spark, sf_dir, "documents")
-    return (docs.select("doc_id", F.concat(F.lit("lang="), "lang").alias("label"))
-            .unionByName(docs.select("doc_id", F.concat(F.lit("source="), "source").alias("label")))
-            .unionByName(flags))
+    # one scan of documents yields both of its labels
+    both = F.array(F.concat(F.lit("lang="), "lang"), F.concat(F.lit("source="), "source"))
+    return docs.select("doc_id", F.explode(both).alias("label")).unionByName(flags)
 
 
 def spliced_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

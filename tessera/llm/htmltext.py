@@ -20,7 +20,7 @@ from pyspark.sql.functions import arrow_udf
 
 SAMPLE_PAGES = 2000  # labelled pages that the weights are counted from
 CLIP = 4.0  # largest weight
-WORD, TAG = 1.0, -0.2  # weights of a word or tag in elements that the labelled pages lack
+WORD, TAG = 2.0, -0.2  # weights of a word or tag in elements that the labelled pages lack
 LEFT_OUT, LINK = "-", "a"  # keys of the words in left-out elements and in links
 INNER_TAG = -0.05  # of a tag inside an element that is marked as the article
 
@@ -209,7 +209,7 @@ def main_text(source: str | None, words: dict[str, float], tags: dict[str, float
             inside = container >= inner
             if kind == "w":
                 if out:  # never part of the text; it only parts regions, however long it is
-                    scores.append(0.0 if inner and inside else words.get(key, -CLIP))
+                    scores.append(0.0 if inner and inside else words.get(key, -CLIP) / CLIP)
                 elif inner:
                     scores.append(n * (max(WORD, words.get(key, WORD)) if inside else -CLIP))
                 else:

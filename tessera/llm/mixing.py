@@ -59,7 +59,7 @@ def learn_words(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> Dat
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_LABELLED)
     rows = _rows(docs.select("doc_id", "text").join(some, "doc_id"), "doc_id", "domain")
     is_in = [F.count_if(F.col("domain") == d).alias(f"c_{i}") for i, d in enumerate(domains)]
-    counts = rows.select("domain", F.explode("tokens").alias("token")).groupBy("token").agg(*is_in)
+    counts = rows.select("domain", F.explode_outer("tokens").alias("token")).groupBy("token").agg(*is_in)
     n_c = [F.col(f"c_{i}") for i in range(len(domains))]
     counts = materialize(counts.where(sum(n_c) >= MIN_DOCS), "mix-counts")
     sizes = counts.where(F.col("token") == _DOC).first()
@@ -82,7 +82,8 @@ def learn_words(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> Dat
 def posteriors(rows: DataFrame, words: DataFrame, n_domains: int) -> DataFrame:
     """rows(id, doc_id, n_tokens, tokens) -> (id, doc_id, n_tokens, p_0 ..).
     ``words`` has at most ``VOCABULARY + 1`` rows, so it is sent to every task."""
-    long = rows.select("id", "doc_id", "n_tokens", F.explode("tokens").alias("token"))
+    # explode_outer: for explode, a filter on the tokens is put below and computes them once more
+    long = rows.select("id", "doc_id", "n_tokens", F.explode_outer("tokens").alias("token"))
     k = range(n_domains)
     z = (long.join(F.broadcast(words), "token").groupBy("id", "doc_id", "n_tokens")
          .agg(*[F.sum(f"w_{i}").alias(f"z_{i}") for i in k]))
@@ -106,12 +107,13 @@ def fit_rates(members: DataFrame, weights: list[float]) -> list[list[float]]:
     """Projected gradient steps for members(n_tokens, p_0 ..).
 
     With T the expected domain tokens at the present rates and t the targets, the
-    objective is (T - t)' M^-1 (T - t) / 2, where M, the sum of n p p' over the
-    documents with a rate above zero, whitens the domains: in the metric of the
-    token counts a step of size 1 then solves the problem on these documents, and
-    the projection moves on what it would have made negative. A step that makes
-    the differences larger is halved. t is ``weights`` times the total at which
-    the first domain keeps its tokens. Returns the steps for ``rate_column``."""
+    objective is (T - t)' W (T - t) / 2, where W is the inverse of the sum of
+    n p p' over the documents: it whitens the domains, so that in the metric of the
+    token counts the gradient's Lipschitz constant is 1 and a step of size 1 always
+    descends. First a longer step is tried, whitened by the documents whose rate
+    is still above zero; it is taken if it descends. t is ``weights`` times the
+    total at which the first domain keeps its tokens; targets out of reach are met
+    as nearly as the objective allows. Returns the steps for ``rate_column``."""
     k = len(weights)
     n = F.col("n_tokens").cast("double")
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
@@ -123,20 +125,23 @@ def fit_rates(members: DataFrame, weights: list[float]) -> list[list[float]]:
         m = np.array([[got[f"m_{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
         return np.array([got[f"t_{i}"] or 0.0 for i in range(k)]), m
 
+    inverse = lambda m: np.linalg.pinv(m + RIDGE * max(1.0, m.trace()) * np.eye(k))
     share = np.array(weights, float) / sum(weights)
     steps: list[list[float]] = []
-    now, m = sums(steps)
+    now, active = sums(steps)
     target = share * now[0] / share[0]
-    size = 1.0
-    for _ in range(MAX_STEPS):
-        if np.abs(now - target).max() <= TOLERANCE * max(1.0, target.sum()):
+    whiten = inverse(active)
+    loss = lambda t: float((t - target) @ whiten @ (t - target))
+    while len(steps) < MAX_STEPS and np.abs(now - target).max() > TOLERANCE * max(1.0, target.sum()):
+        before = loss(now)
+        for w in (inverse(active), whiten):
+            trial = [*steps, (w @ (now - target)).tolist()]
+            then, left = sums(trial)
+            if loss(then) < before or w is whiten:
+                break
+        steps, now, active = trial, then, left
+        if loss(now) > before * (1 - 1e-4):
             break
-        step = size * np.linalg.pinv(m + RIDGE * max(1.0, m.trace()) * np.eye(k)) @ (now - target)
-        then, m_then = sums([*steps, step.tolist()])
-        if np.abs(then - target).sum() < np.abs(now - target).sum():
-            steps, now, m, size = [*steps, step.tolist()], then, m_then, 1.0
-        else:
-            size /= 2
     return steps
 
 

@@ -101,7 +101,7 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS)
         flips = [sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(width), r)]
         if flips:
             home = _key(fp, s, offset, width)
-            balls.append(F.transform(F.array(*[F.lit(x).cast("bigint") for x in flips]), lambda x, k=home: k.bitwiseXOR(x)))
+            balls.append(F.array(*[home.bitwiseXOR(F.lit(x).cast("bigint")) for x in flips]))
     lookups = known.select("fp", "rep", F.explode(F.concat(*balls)).alias("key"))
     buckets = known.select(F.col("fp").alias("fp2"), F.col("rep").alias("rep2"), F.explode(F.array(*[
         _key(fp, s, offset, width) for s, (offset, width, radius) in enumerate(plan) if radius >= 0])).alias("key2"))

@@ -114,7 +114,7 @@ def _tiles(k: int, scale: int):
             for x in batch.to_pylist():
                 dim = x["dim"]
                 q_ids, c_ids = (np.frombuffer(x[s], "<i8") for s in ("q_ids", "c_ids"))
-                q, c = (quantise(np.frombuffer(x[s], "<f8").reshape(-1, dim), scale) for s in ("q_data", "c_data"))
+                q, c = (quantise(np.frombuffer(x[s], "<f8").reshape(len(ids), dim), scale) for s, ids in (("q_data", q_ids), ("c_data", c_ids)))
                 order = np.argsort(c_ids, kind="stable")
                 got = list(tile_top(q_ids, q, c_ids[order], c[order], k))
                 yield pa.RecordBatch.from_arrays([

@@ -33,3 +33,11 @@ def one_label_per_id(labels: DataFrame, label: str, merge) -> DataFrame:
 def spread_by_hash(n: int):
     """Order rows by a hash of their id: a stable sample is its first rows."""
     return F.xxhash64(F.col("doc_id"), F.lit(n))
+
+
+def row_key() -> list[Column]:
+    """(row_id, row_hash) of a row with doc_id and text; never null. Rows with an
+    equal key are copies of one row, so texts need not be stored to find them
+    again: a second reading joins what the first one found by this key."""
+    return [F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("row_id"),
+            F.xxhash64(F.col("text").cast("string")).alias("row_hash")]

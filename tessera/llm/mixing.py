@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import packed
+from .common import packed, row_key
 
 SAMPLE_LABELLED = 4000  # most labelled documents that the classifier is counted from
 VOCABULARY = 4000  # words that tell domains apart best; bounds the broadcast table and the filter's set
@@ -80,16 +80,17 @@ def learn_words(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> Dat
 
 
 def posteriors(rows: DataFrame, words: DataFrame, n_domains: int) -> DataFrame:
-    """rows(id, doc_id, n_tokens, tokens) -> (id, doc_id, n_tokens, p_0 ..).
+    """rows(id, .., tokens) -> the columns but tokens, and p_0 ..; id is unique.
     ``words`` has at most ``VOCABULARY + 1`` rows, so it is sent to every task."""
     # explode_outer: for explode, a filter on the tokens is put below and computes them once more
-    long = rows.select("id", "doc_id", "n_tokens", F.explode_outer("tokens").alias("token"))
+    keep = [c for c in rows.columns if c != "tokens"]
+    long = rows.select(*keep, F.explode_outer("tokens").alias("token"))
     k = range(n_domains)
-    z = (long.join(F.broadcast(words), "token").groupBy("id", "doc_id", "n_tokens")
+    z = (long.join(F.broadcast(words), "token").groupBy(*keep)
          .agg(*[F.sum(f"w_{i}").alias(f"z_{i}") for i in k]))
     top = reduce(lambda x, y: F.when(x >= y, x).otherwise(y), [F.col(f"z_{i}") for i in k])
     z = z.withColumn("top", top).withColumns({f"e_{i}": F.exp(F.col(f"z_{i}") - F.col("top")) for i in k})
-    return z.select("id", "doc_id", "n_tokens", *[(F.col(f"e_{i}") / sum(F.col(f"e_{j}") for j in k)).alias(f"p_{i}") for i in k])
+    return z.select(*keep, *[(F.col(f"e_{i}") / sum(F.col(f"e_{j}") for j in k)).alias(f"p_{i}") for i in k])
 
 
 def rate_column(steps: list[list[float]]) -> Column:
@@ -151,7 +152,7 @@ def _fitted(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) ->
         raise ValueError("targets need weights of zero or more, above zero for the first domain")
     words = learn_words(docs, labelled, domains)
     among = [r.token for r in words.select("token").collect()]  # VOCABULARY + 1 at most
-    rows = _rows(docs, "id", "doc_id", among=among)
+    rows = _rows(docs, *[c for c in docs.columns if c != "text"], among=among)
     members = materialize(posteriors(rows, words, len(domains)), "mix-members")
     rate = rate_column(fit_rates(members, list(targets.values())))
     # part of a copy becomes a whole one for that part of the ids, by a hash
@@ -175,8 +176,8 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:
     """The rows of ``docs`` repeated ``copies`` times (0: left out), columns
     unchanged, so that the expected domain tokens meet the targets."""
-    rows = materialize(docs.select(packed(docs).alias("row"), F.monotonically_increasing_id().alias("id")), "mix-rows")
-    flat = rows.select("id", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
-    got = _fitted(flat, labelled, targets)
-    copies = materialize(got.where("copies > 0").select("id", "copies"), "mix-copies")
-    return (rows.join(copies, "id").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("n")).select("row.*"))
+    flat = docs.select("doc_id", "text", *row_key(), F.monotonically_increasing_id().alias("id"))
+    got = _fitted(flat, labelled, targets).where("copies > 0")
+    copies = materialize(got.select("row_id", "row_hash", "copies").distinct(), "mix-copies")
+    rows = docs.select(packed(docs).alias("row"), *row_key()).join(copies, ["row_id", "row_hash"])
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("n")).select("row.*")

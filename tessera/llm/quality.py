@@ -140,11 +140,11 @@ def quality_rules(docs: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame
 
 
 def keep_good(docs: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """The rows of ``docs`` that ``quality_rules`` keeps, columns unchanged."""
-    rows = docs.select(packed(docs).alias("row"), measures(F.col("text")).alias("m"))
-    rows = materialize(rows.select(
-        F.when(~base_failed("m"), F.col("row")).alias("row"), F.col("row.source").cast("string").alias("source"),
-        any_failed("m").alias("failed"), base_failed("m").alias("base")), "quality-stage")
-    hosts = host_verdicts(rows.select("source", "failed"), max_rate).where("rejected").select("source")
-    rejected = materialize(hosts, "quality-rejected")
-    return rows.where("not base").join(rejected, "source", "left_anti").select("row.*")
+    """The rows of ``docs`` that ``quality_rules`` keeps, columns unchanged. The
+    texts are read and measured twice, for the hosts and for the rows, rather
+    than stored or shuffled."""
+    rows = docs.select(packed(docs).alias("row"), F.col("source").cast("string").alias("source"), measures(F.col("text")).alias("m"))
+    failures = docs.select(F.col("source").cast("string").alias("source"), measures(F.col("text")).alias("m"))
+    hosts = host_verdicts(failures.select("source", any_failed("m").alias("failed")), max_rate)
+    rejected = materialize(hosts.where("rejected").select("source"), "quality-rejected")
+    return rows.where(~base_failed("m")).join(rejected, "source", "left_anti").select("row.*")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ..session import materialize
-from .common import packed
+from .common import packed, row_key
 from .components import connected_components
 
 SHINGLE_WORDS = 4
@@ -142,10 +142,9 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits
                          segments: int = SEGMENTS) -> DataFrame:
     """Keep one row of each component: the least doc_id (null ids last), of
     repeated ids one row. Columns are those of ``docs``, whatever their names."""
-    rows = materialize(docs.select(
-        packed(docs).alias("row"), F.monotonically_increasing_id().alias("at"),
-        fingerprint_column(F.col("text"), shingle).alias("fp")), "simhash-rows")
-    order = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("id"), F.col("at").alias("at"))
-    best = _classes(rows, order, max_bits, segments).select(F.col("chosen.at").alias("at")).distinct()
+    prints = materialize(docs.select("doc_id", *row_key(), fingerprint_column(F.col("text"), shingle).alias("fp")), "simhash-prints")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row_id"), F.col("row_hash"))
+    best = _classes(prints, order, max_bits, segments).select("chosen.row_id", "chosen.row_hash").distinct()
     kept = materialize(best, "simhash-kept")
-    return rows.join(kept, "at", "left_semi").select("row.*")
+    rows = docs.select(packed(docs).alias("row"), *row_key())
+    return rows.join(kept, ["row_id", "row_hash"], "left_semi").dropDuplicates(["row_id", "row_hash"]).select("row.*")

@@ -17,8 +17,8 @@ from pyspark.sql.functions import arrow_udf
 
 from .common import fold, one_label_per_id, spread_by_hash
 
-SAMPLE_POSITIVE = 2500  # most confirmed toxic texts that are fitted on
-SAMPLE_UNLABELLED = 7500  # most unlabelled texts that are fitted on
+SAMPLE_POSITIVE = 2000  # most confirmed toxic texts that are fitted on
+SAMPLE_UNLABELLED = 6000  # most unlabelled texts that are fitted on
 SAMPLE_CHARS = 20_000  # longer texts are scored in full but not fitted on
 PREFIXES = (4, 5, 6)  # word beginnings, for inflected forms
 MIN_POSITIVES = 4  # texts that must have a feature, and
@@ -43,32 +43,34 @@ def text_features(text: str | None) -> set[str]:
     return {f for w in set((text or "").lower().split()) for f in word_features(w)}
 
 
-def select_features(positive: list[set], unlabelled: list[set]) -> list[str]:
+def select_features(positive: list, unlabelled: list, features=text_features) -> list[str]:
     """Features that stand out among the positives, strongest first."""
-    in_p = Counter(f for x in positive for f in x)
-    in_u = Counter(f for x in unlabelled for f in x)
     n_p, n_u = max(1, len(positive)), max(1, len(unlabelled))
-    lift = {f: (c / n_p) / ((in_u[f] + 1) / n_u) for f, c in in_p.items() if c >= max(MIN_POSITIVES, MIN_SHARE * n_p)}
+    count = Counter(f for x in positive for f in features(x))
+    in_p = {f: c for f, c in count.items() if c >= max(MIN_POSITIVES, MIN_SHARE * n_p)}
+    del count  # only features of some of the positives are counted further
+    in_u = Counter(f for x in unlabelled for f in features(x) if f in in_p)
+    lift = {f: (c / n_p) / ((in_u[f] + 1) / n_u) for f, c in in_p.items()}
     good = [f for f, x in lift.items() if x >= MIN_LIFT]
     return sorted(good, key=lambda f: (-in_p[f] * np.log(lift[f]), f))[:MAX_FEATURES]
 
 
-def _design(rows: list[set], number: dict[str, int]):
+def _design(rows: list, number: dict[str, int], features) -> np.ndarray:
     """Row numbers and feature numbers of the ones of a 0/1 matrix."""
-    at = [(i, number[f]) for i, x in enumerate(rows) for f in x if f in number]
+    at = [(i, number[f]) for i, x in enumerate(rows) for f in features(x) if f in number]
     return np.array(at, np.int64).reshape(-1, 2).T
 
 
-def fit_nnpu(positive: list[set], unlabelled: list[set], prior: float,
+def fit_nnpu(positive: list, unlabelled: list, prior: float, features=text_features,
              epochs: int = EPOCHS, rate: float = RATE, l1: float = L1) -> tuple[dict[str, float], float]:
     """(weights by feature, bias) minimising the non-negative risk with the
     logistic loss by proximal Adam steps. While the negative part of the risk is below zero,
     the step goes up its gradient instead, as the estimator prescribes."""
-    names = select_features(positive, unlabelled)
+    names = select_features(positive, unlabelled, features)
     number = {f: i for i, f in enumerate(names)}
     if not positive or not unlabelled or not names:
         return {}, float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
-    (pr, pc), (ur, uc) = _design(positive, number), _design(unlabelled, number)
+    (pr, pc), (ur, uc) = _design(positive, number, features), _design(unlabelled, number, features)
     w, m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     n_p, n_u, d = len(positive), len(unlabelled), len(names)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -102,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = HELD
     ids = docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~fold(F.col("doc_id"), folds, held))
     some = ids.distinct().orderBy(spread_by_hash(2), "doc_id").limit(SAMPLE_UNLABELLED)
     unlabelled = texts.join(some, "doc_id", "left_semi").select("text").limit(2 * SAMPLE_UNLABELLED)
-    return fit_nnpu([text_features(r.text) for r in positive.collect()], [text_features(r.text) for r in unlabelled.collect()], prior)
+    return fit_nnpu([r.text for r in positive.collect()], [r.text for r in unlabelled.collect()], prior)
 
 
 def score_column(text: Column, weights: dict[str, float], bias: float) -> Column:

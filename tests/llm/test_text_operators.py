@@ -202,7 +202,7 @@ def test_nnpu_learns_from_positives_and_unlabelled_only():
     rng = np.random.default_rng(0)
     clean = [{f"w{k}" for k in rng.integers(0, 200, 30)} for _ in range(600)]
     toxic = [{f"w{k}" for k in rng.integers(0, 200, 30)} | {"bad"} for _ in range(200)]
-    weights, bias = toxicity.fit_nnpu(toxic[:100], clean + toxic[100:150], prior=0.08)
+    weights, bias = toxicity.fit_nnpu(toxic[:100], clean + toxic[100:150], prior=0.08, features=lambda x: x)
     score = lambda x: bias + sum(weights.get(f, 0) for f in x)
     assert all(score(x) > 0 for x in toxic[150:]) and np.mean([score(x) < 0 for x in clean]) > 0.99
 

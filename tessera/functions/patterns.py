@@ -103,10 +103,7 @@ W2V_WINDOW = 5
 W2V_MIN_COUNT = 5
 W2V_EPOCHS = 5
 W2V_STEP = 0.025
-LOGISTIC_RATE = 0.13
 LOGISTIC_BATCH = 6
-MLP_RATE = 0.01
-MLP_L2 = 1e-4
 MLP_BATCH = 20
 MLP_HIDDEN = 500
 CONV_BATCH = 500

@@ -9,23 +9,13 @@ from ..session import materialize
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 
-# Inputs up to this many rows (checked by a count first) are numbered by one
-# ordered window in a single task; anything larger takes the distributed path.
-SMALL_INDEX_ROWS = 1_000_000
-
-
-def dense_index(df: DataFrame, order_cols, index_col: str = "idx",
-                small_rows: int = SMALL_INDEX_ROWS) -> DataFrame:
+def dense_index(df: DataFrame, order_cols, index_col: str = "idx") -> DataFrame:
     """Append ``index_col`` = 0-based rank of each row in ``order_cols`` order.
 
     ``order_cols`` must be a total order (add a unique tie-breaker) for the
     result to be deterministic.
 
-    The input is persisted and counted first. Up to ``small_rows`` rows (a
-    checked bound, like a broadcast threshold) one ordered ``row_number``
-    window numbers them in a single task — cheaper than the distributed
-    plan's extra jobs. Larger inputs never go through one task:
-
+    One plan for every size, in which no task ever gets all rows:
     a range-partitioned sort (distributed), then each row is tagged with
     its sort partition id and in-partition row number, and the tagged rows
     are written once to the shared checkpoint folder. Both later passes read
@@ -36,15 +26,10 @@ def dense_index(df: DataFrame, order_cols, index_col: str = "idx",
     broadcast back.
     """
     cols = df.columns
-    cached = df.persist()
-    if cached.count() <= small_rows:
-        rank = F.row_number().over(Window.orderBy(*order_cols)) - 1
-        return cached.withColumn(index_col, rank.cast("long"))
-    tagged = materialize(cached.orderBy(*order_cols)
-                           .select("*", F.spark_partition_id().alias("_pid"),
-                                   F.monotonically_increasing_id().alias("_mid")),
+    tagged = materialize(df.orderBy(*order_cols)
+                         .select("*", F.spark_partition_id().alias("_pid"),
+                                 F.monotonically_increasing_id().alias("_mid")),
                          "dense-index")
-    cached.unpersist()
     prior = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
                      .select("_pid", F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_off")))

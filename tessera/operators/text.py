@@ -54,14 +54,16 @@ def total_words(tokens: DataFrame) -> DataFrame:
 
 
 def noun_lemma_map(words: DataFrame, lexicon: DataFrame, exceptions: DataFrame | None = None,
-                   word_col: str = "word") -> DataFrame:
+                   word_col: str = "word", distinct: bool = False) -> DataFrame:
     """``(word, lemma)`` for each distinct word, by suffix rules + lexicon.
 
     Candidates are the word itself and every suffix-rule rewrite; those in
     the lexicon survive and the shortest wins (ties: the word itself, then
     rule order). An exception table ``(word, lemma)`` overrides. Words with
     no surviving candidate map to themselves. Work is per distinct word, so
-    the token stream is touched only by the final join.
+    the token stream is touched only by the final join. With ``distinct`` both
+    inputs are known to hold a word once, nothing is made distinct again, and
+    further columns of ``words`` (such as counts) are carried through.
     """
     w = F.col(word_col)
     cands = [F.struct(F.lit(0).alias("rule"), w.alias("cand"))]
@@ -69,20 +71,24 @@ def noun_lemma_map(words: DataFrame, lexicon: DataFrame, exceptions: DataFrame |
         stem = F.expr(f"substring({word_col}, 1, length({word_col}) - {len(suf)})")
         cands.append(F.when(w.endswith(suf), F.struct(F.lit(i).alias("rule"),
                                                       F.concat(stem, F.lit(rep)).alias("cand"))))
-    distinct = words.select(word_col).distinct()
-    ex = (distinct.select(word_col, F.explode(F.filter(F.array(*cands), lambda c: c.isNotNull())).alias("c"))
-                  .select(word_col, "c.rule", "c.cand")
-                  .filter(F.length("cand") > 0))
-    lex = lexicon.select(F.col(lexicon.columns[0]).alias("cand")).distinct()
-    hits = ex.join(lex, "cand", "left_semi")
-    best = hits.groupBy(word_col).agg(
-        F.min_by("cand", F.struct(F.length("cand"), F.col("rule"))).alias("lemma"))
-    out = distinct.join(best, word_col, "left")
+    rows = words if distinct else words.select(word_col).distinct()
+    carried = [c for c in rows.columns if c != word_col]
+    # the word itself is always a candidate: whether or not the lexicon holds it, it is the
+    # last resort, so one left join and one aggregate give every word its lemma
+    ex = (rows.select(word_col, *carried, F.explode(F.filter(F.array(*cands), lambda c: c.isNotNull())).alias("c"))
+              .select(word_col, *carried, "c.rule", "c.cand")
+              .filter((F.length("cand") > 0) | (F.col("rule") == 0)))
+    lex = lexicon.select(F.col(word_col if word_col in lexicon.columns else lexicon.columns[0]).alias("cand"))
+    lex = (lex if distinct else lex.distinct()).withColumn("_known", F.lit(True))
+    hits = ex.join(lex, "cand", "left")
+    key = F.struct(F.length("cand"), F.col("rule"))
+    out = hits.groupBy(word_col).agg(*[F.first(c).alias(c) for c in carried],
+                                     F.min_by(F.when(F.col("_known"), F.col("cand")), F.when(F.col("_known") & (F.length("cand") > 0), key)).alias("lemma"))
     if exceptions is not None:
         exc = exceptions.select(F.col(exceptions.columns[0]).alias(word_col),
                                 F.col(exceptions.columns[1]).alias("_exc")).dropDuplicates([word_col])
-        out = out.join(exc, word_col, "left").select(word_col, F.coalesce("_exc", "lemma").alias("lemma"))
-    return out.select(word_col, F.coalesce("lemma", word_col).alias("lemma"))
+        out = out.join(exc, word_col, "left").withColumn("lemma", F.coalesce("_exc", "lemma")).drop("_exc")
+    return out.select(word_col, *carried, F.coalesce("lemma", word_col).alias("lemma"))
 
 
 def lemmatize_long(tokens: DataFrame, lemma_map: DataFrame, word_col: str = "word") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,18 +75,13 @@ def mean_embedding_tf(docs: DataFrame, tf: DataFrame, vectors: DataFrame, dim=No
 
     Only known words count in the divisor; a document with none (or no
     tokens at all) gets the zero vector. Plan: tokens shrink to
-    ``(doc, word, tf)`` (partial aggregate), join the vector table, then one
-    row per (doc, dimension) is summed in a code-generated hash aggregate
-    with map-side combining; the final regroup per document holds exactly
-    ``dim`` values, a bound fixed by the model, not by the data.
+    ``(doc, word, tf)`` (partial aggregate), join the vector table, and a
+    vector mean weighted by ``tf`` is summed per document: one partial vector
+    per document and task reaches the shuffle, never a row per dimension.
     """
-    known = tf.join(vectors.select(word_col, vector_col), word_col, "inner")
-    per_dim = (known.select(id_col, "tf", F.posexplode(vector_col).alias("_dim", "_v"))
-                    .groupBy(id_col, "_dim")
-                    .agg((F.sum(F.col("tf") * F.col("_v")) / F.sum("tf")).alias("_x")))
-    means = (per_dim.groupBy(id_col)
-                    .agg(F.array_sort(F.collect_list(F.struct("_dim", "_x"))).alias("_s"))
-                    .select(id_col, F.transform("_s", lambda e: e["_x"]).alias("_mean")))
+    known = tf.join(vectors.select(word_col, array_to_vector(F.col(vector_col)).alias("_v")), word_col, "inner")
+    means = (known.groupBy(id_col).agg(Summarizer.mean(F.col("_v"), F.col("tf")).alias("_m"))
+                  .select(id_col, vector_to_array("_m").alias("_mean")))
     width = vector_width(vectors, vector_col) if dim is None else dim
     zeros = F.array_repeat(F.lit(0.0), width)
     return (docs.select(id_col).join(means, id_col, "left")

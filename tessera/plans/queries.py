@@ -24,7 +24,7 @@ from ..operators import linear as LN
 from ..operators import pages as PG
 from ..operators import text as TX
 from ..operators import vectors as V
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sinks import writers as W
 from ..sources import artifacts as SA
 from ..sources import category as SC
@@ -66,7 +66,7 @@ def _doc_vectors(spark, sf):
     """Documents -> mean word vectors. The corpus is tokenised once: the
     term-frequency table feeds both the vocabulary counts and the means."""
     docs = _t(spark, sf, "documents").select("doc_id", "text")
-    tf = V.term_frequencies(TX.tokens_long(docs)).persist()
+    tf = materialize(V.term_frequencies(TX.tokens_long(docs)), "doc-tf")
     vocab = V.vocabulary_from_counts(V.counts_from_tf(tf))
     w1 = FX.word_vectors(spark, sf, vocab)
     return V.mean_embedding_tf(docs, tf, w1)
@@ -270,6 +270,13 @@ def category_descent(spark, sf):
     return G.category_descent(links, page, [FX.ROOT_CATEGORY], 3)
 
 
+def category_descent_partial(spark, sf):
+    """Two seeds, two steps: one seed is a region, the other a nation, so most
+    pages stay out of reach."""
+    page, links = FX.category_graph(spark, sf)
+    return G.category_descent(links, page, list(FX.PARTIAL_SEEDS), 1)
+
+
 # ----------------------------------------------------------- aggregations ---
 
 def label_dictionary(spark, sf):
@@ -328,9 +335,8 @@ def lemma_corpus_vocabulary(spark, sf):
     # (map-side combined), each distinct word is mapped, and counts are summed
     # per lemma — the token stream is never joined, so frequent words cannot
     # skew a join.
-    counts = _clean_tokens(spark, sf).groupBy("word").agg(F.count(F.lit(1)).alias("count")).persist()
-    words = counts.select("word")
-    lemma_counts = (counts.join(TX.noun_lemma_map(words, words), "word", "inner")
+    counts = materialize(_clean_tokens(spark, sf).groupBy("word").agg(F.count(F.lit(1)).alias("count")), "word-counts")
+    lemma_counts = (TX.noun_lemma_map(counts, counts, distinct=True)
                           .groupBy(F.col("lemma").alias("word")).agg(F.sum("count").alias("count")))
     return V.vocabulary_from_counts(lemma_counts).select(
         "word", F.col("count").cast("long").alias("n"), "idx")
@@ -425,8 +431,8 @@ def tokenize(spark, sf):
 def lemmatize_nouns(spark, sf):
     tokens = FX.document_tokens(spark, sf)
     # the corpus words are both the words to map and the lexicon
-    words = tokens.select("word").distinct().persist()
-    return TX.noun_lemma_map(words, words)
+    words = materialize(tokens.select("word").distinct(), "words")
+    return TX.noun_lemma_map(words, words, distinct=True)
 
 
 def markup_to_plain(spark, sf):
@@ -538,7 +544,7 @@ def vectorizer_plugin(spark, sf):
     from ..operators import ml as ML
     docs = _t(spark, sf, "documents").select("doc_id", "text")
     tokens = TX.tokens_long(docs, stop_words=P.ENGLISH_STOP_WORDS)
-    feats = ML.vectorize(tokens, ML.tfidf_plugin())
+    feats = ML.vectorize(tokens, ML.tfidf_plugin(docs))
     return feats.select("doc_id", "word", F.col("tf").cast("long").alias("tf"), _r("tfidf").alias("tfidf"))
 
 
@@ -557,7 +563,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "semi_join_ids": semi_join_ids, "resolve_titles": resolve_titles,
         "category_members": category_members, "labels_by_id": labels_by_id,
         "encode_labels": encode_labels, "lookup_word_vectors": lookup_word_vectors,
-        "attach_label_list": attach_label_list, "category_descent": category_descent,
+        "attach_label_list": attach_label_list, "category_descent": category_descent, "category_descent_partial": category_descent_partial,
         "label_dictionary": label_dictionary, "count_labels": count_labels,
         "total_words": total_words, "label_list_stats": label_list_stats,
         "corpus_counts": corpus_counts, "build_vocabulary": build_vocabulary,

@@ -10,12 +10,11 @@ from tessera.operators import vectors as V
 import pytest
 
 
-@pytest.mark.parametrize("small_rows", [0, 1_000_000])   # distributed path, single-task path
-def test_dense_index_matches_python(spark, small_rows):
+def test_dense_index_matches_python(spark):
     rnd = random.Random(7)
     rows = [(rnd.randint(0, 50), f"w{i}") for i in range(3000)]
     df = spark.createDataFrame(rows, "n long, w string").repartition(13)
-    idx = I.dense_index(df, [F.col("n").desc(), F.col("w")], small_rows=small_rows)
+    idx = I.dense_index(df, [F.col("n").desc(), F.col("w")])
     got = {r["w"]: r["idx"] for r in idx.collect()}
     expect = {w: i for i, (n, w) in enumerate(sorted(rows, key=lambda t: (-t[0], t[1])))}
     assert got == expect
@@ -75,6 +74,6 @@ def test_mean_vector_plugin_equals_operator(spark):
     docs = spark.createDataFrame([(1, "x y x"), (2, "y")], "doc_id long, text string")
     vectors = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.0, 3.0])], "word string, vector array<double>")
     toks = TX.tokens_long(docs)
-    a = {r["doc_id"]: r["features"] for r in ML.vectorize(toks, ML.mean_vector_plugin(vectors, 2)).collect()}
+    a = {r["doc_id"]: r["features"] for r in ML.vectorize(toks, ML.mean_vector_plugin(docs, vectors, 2)).collect()}
     b = {r["doc_id"]: r["features"] for r in V.mean_embedding(docs, toks, vectors, 2).collect()}
     assert a == b

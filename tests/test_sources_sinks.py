@@ -1,5 +1,6 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import pages as PG
@@ -104,6 +105,18 @@ def test_dump_first_or_last_revision(spark, tmpdir_path):
     assert SD.scan_dump(spark, p, revision="first").first()["text"] == "old"
 
 
+def test_malformed_pages_are_shown_or_fail(spark, tmpdir_path):
+    page = "<page><title>{}</title><ns>0</ns><id>{}</id><revision><id>5</id><text>t</text></revision></page>"
+    p = os.path.join(tmpdir_path, "m.xml")
+    with open(p, "w") as f:
+        f.write("<mediawiki>" + page.format("A", 1) + page.format("B", "oops") + "</mediawiki>")
+    assert [r["id"] for r in SD.scan_dump(spark, p).collect()] == [1]
+    bad = SD.malformed_pages(spark, p).collect()
+    assert len(bad) == 1 and "oops" in bad[0]["source"]
+    with pytest.raises(Exception):
+        SD.scan_dump(spark, p, mode="FAILFAST").collect()
+
+
 def test_drop_scratch(spark):
     from tessera.session import drop_scratch, materialize
     t = materialize(spark.range(3), "scratch-test")

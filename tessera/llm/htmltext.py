@@ -2,8 +2,9 @@
 
 A page is read as a sequence of words and tags. Words score positive or negative
 by the element they stand in, tags score negative; the weights come from labelled
-pages, that is pages whose markup says where the article is. One linear scan finds
-the best contiguous region, whose words are the main text.
+pages, that is pages whose markup says where the article is. On every page these
+weights alone are summed, its own article markup has no part in them. One linear
+scan finds the best contiguous region, whose words are the main text.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql.functions import arrow_udf
 SAMPLE_PAGES = 2000  # labelled pages that the weights are counted from
 CLIP = 4.0  # largest weight
 WORD, TAG = 2.0, -0.2  # weights of a word or tag in elements that the labelled pages lack
-LEFT_OUT, LINK = "-", "a"  # keys of the words in left-out elements and in links
-INNER_TAG = -0.05  # of a tag inside an element that is marked as the article
+LEFT_OUT, LINK = "-", "a"  # keys of the words in left-out elements (with the tag of the outermost) and in links
+LEAST_SHARE = 0.5  # of a page's words in its marked element for the page to be a label
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -35,6 +36,7 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
                     "strike strong sub sup time tt u var wbr".split())
 _OUT_TAGS = frozenset("head nav footer aside form menu dialog button select option fieldset audio video".split())
 _HARD = frozenset("nav aside footer head dialog menu".split())  # an article inside these is a teaser
+_HARD_WORDS = frozenset("comment comments disqus promo recommended related replies respond teaser".split())  # or a reader's comment
 _OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _OUT_WORDS = frozenset("ad ads adbox advert adverts advertisement advertising adsbygoogle banner breadcrumb breadcrumbs comment comments "
                        "consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices "
@@ -47,11 +49,12 @@ _CLOSED_BY = {"p": frozenset("p address article aside blockquote div dl fieldset
               "tr": frozenset(["tr"]), "option": frozenset(["option"])}
 
 
-def _left_out(name: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is no main text: by its tag, and by its attributes."""
-    by_tag = name in _OUT_TAGS
+def _left_out(name: str, attributes: str) -> tuple[bool, bool, bool]:
+    """Whether an element is no main text: by its tag, and by its attributes; and
+    whether articles inside it are none either."""
+    by_tag, hard = name in _OUT_TAGS, name in _HARD
     if not attributes or name in ("html", "body"):
-        return by_tag, False
+        return by_tag, False, hard
     words, by_attribute = [], False
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -61,18 +64,21 @@ def _left_out(name: str, attributes: str) -> tuple[bool, bool]:
                 or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             by_attribute = True
     if name in ("article", "main"):  # a wide element named after its parts; a reader's comment is an article, too
-        return False, by_attribute or bool({"comment", "teaser", "related", "ad", "promo"} & set(words))
-    return by_tag, by_attribute or bool(_OUT_WORDS & set(words)) or name not in _HEADINGS and "header" in words
+        return False, by_attribute or bool({"comment", "teaser", "related", "ad", "promo"} & set(words)), False
+    by_attribute = by_attribute or bool(_OUT_WORDS & set(words)) or name not in _HEADINGS and "header" in words
+    return by_tag, by_attribute, hard or bool(_HARD_WORDS & set(words))
 
 
 class Page:
     """The sequence of one page. ``items``: (kind, key, text, number of words,
     left out, container): kind "w" for text and "t" for a tag; container is 2 in
-    an article, 1 in a main element, else 0."""
+    an article, 1 in a main element, else 0. ``marked`` counts the outermost
+    elements of these kinds that are not left out."""
 
     def __init__(self, source: str, use_attributes: bool = True):
         self.items: list[tuple] = []
-        stack: list[tuple[str, bool, int]] = []  # tag, left out, container
+        self.marked: Counter = Counter()
+        stack: list[tuple[str, bool, int, bool]] = []  # tag, left out, container, articles inside are none
         at = 0
         for m in _markup(source):
             if m.start() > at:
@@ -96,16 +102,19 @@ class Page:
             while stack and name in _CLOSED_BY.get(self._block(stack), ()):
                 i = max(i for i, x in enumerate(stack) if x[0] == self._block(stack))
                 del stack[i:]
-            out, container = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-            by_tag, by_attribute = _left_out(name, m[3] or m[6] or "")
+            out, container, hard = stack[-1][1:] if stack else (False, 0, False)
+            by_tag, by_attribute, by_hard = _left_out(name, m[3] or m[6] or "")
             mine = by_tag or use_attributes and by_attribute
+            hard = hard or mine and by_hard
             if name in ("article", "main"):
-                if out and not mine and not any(x[0] in _HARD for x in stack) and not container:
+                if out and not mine and not hard and not container:
                     out = False  # an element left open before the article, or one round the whole page
-                container = max(container, 0 if mine else 2 if name == "article" else 1)
+                kind = 0 if mine or out else 2 if name == "article" else 1
+                self.marked[kind] += kind > container
+                container = max(container, kind)
             if name == "header":
                 mine = mine or not container
-            stack.append((name, out or mine, container))
+            stack.append((name, out or mine, container, hard))
             if name not in _INLINE:
                 self.items.append(("t", name, "", 0, out or mine, container))
         if at < len(source):
@@ -117,16 +126,29 @@ class Page:
 
     def _text(self, raw: str, stack) -> None:
         text = html.unescape(raw) if "&" in raw else raw
-        tag, out, container = stack[-1] if stack else ("", False, 0)
+        _, out, container, _ = stack[-1] if stack else ("", False, 0, False)
         names = [x[0] for x in stack]
         if "header" in names and not _HEADINGS & set(names[names.index("header"):]):
             out = True  # of an article's header only the headings stay
-        key = LEFT_OUT if out else LINK if LINK in names else self._block(stack)
+        if out:
+            key = LEFT_OUT + next((x[0] for x in stack if x[1]), "header")
+        else:
+            key = LINK if LINK in names else self._block(stack)
         self.items.append(("w", key, text, len(text.split()), out, container))
 
-    def container(self) -> int:
-        """The innermost kind of marked element that holds words."""
-        return max((c for kind, _, _, n, out, c in self.items if kind == "w" and n and not out), default=0)
+    def label(self) -> int:
+        """The kind of marked element that says where the main text is: the only
+        one of its kind, with most of the page's words; 0 if there is none. One
+        teaser beside the text, or a list of articles, says nothing."""
+        words: Counter = Counter()
+        for kind, _, _, n, out, c in self.items:
+            if kind == "w" and not out:
+                words[c] += n
+        for kind in (2, 1):
+            inside = sum(n for c, n in words.items() if c >= kind)
+            if inside and self.marked[kind] == 1 and inside >= LEAST_SHARE * words.total():
+                return kind
+        return 0
 
 
 def _markup(source: str):
@@ -159,21 +181,20 @@ class _Skip:
 
 
 def learn_weights(sources: list[str]) -> tuple[dict[str, float], dict[str, float]]:
-    """Weights of words by element and of tags, from pages with an article or
-    main element: log odds of standing inside it, smoothed and clipped."""
+    """Weights of words by element and of tags, from pages whose article or main
+    element is a label: log odds of standing inside it, smoothed and clipped."""
     words: dict[bool, Counter] = {True: Counter(), False: Counter()}
     tags: dict[bool, Counter] = {True: Counter(), False: Counter()}
     for source in sources:
         page = Page(source)
-        inner = page.container()
+        inner = page.label()
         if not inner:
             continue
         for kind, key, _, n, out, container in page.items:
-            inside = container >= inner and not out
             if kind == "w":
-                words[inside][key] += n
+                words[container >= inner][key] += n
             elif key and not out:
-                tags[inside][key] += 1
+                tags[container >= inner][key] += 1
     odds = lambda c, k: float(np.clip(np.log((c[True][k] + 1) / (c[False][k] + 1)), -CLIP, CLIP))
     return ({k: odds(words, k) for k in sorted({*words[True], *words[False]})},
             {k: min(-0.2, odds(tags, k)) for k in sorted({*tags[True], *tags[False]})})
@@ -195,29 +216,22 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 def main_text(source: str | None, words: dict[str, float], tags: dict[str, float]) -> str:
     """The main text of one whole page; empty if there is none.
 
-    What is marked as the article always scores positive and all else on such a
-    page negative. Character references are decoded, white space inside a block
+    Every word and tag scores by the learned weights, whether it stands in marked
+    elements or not. Character references are decoded, white space inside a block
     and between blocks becomes one space. If everything is left out because of
     class names or the like, these are ignored."""
     if not source:
         return ""
     for use_attributes in (True, False):
         page = Page(source, use_attributes)
-        inner = page.container()
         scores = []
-        for kind, key, _, n, out, container in page.items:
-            inside = container >= inner
-            if kind == "w":
-                if out:  # never part of the text; it only parts regions, however long it is
-                    scores.append(0.0 if inner and inside else words.get(key, -CLIP) / CLIP)
-                elif inner:
-                    scores.append(n * (max(WORD, words.get(key, WORD)) if inside else -CLIP))
-                else:
-                    scores.append(n * words.get(key, -WORD if key == LINK else WORD))
-            elif key is None:
-                scores.append(0.0)
+        for kind, key, _, n, out, _ in page.items:
+            if kind == "w" and out:  # never part of the text; it only parts regions, however long it is
+                scores.append(min(0.0, words.get(key, -CLIP)) / CLIP)
+            elif kind == "w":
+                scores.append(n * words.get(key, -WORD if key == LINK else WORD))
             else:
-                scores.append(INNER_TAG if inner and inside else tags.get(key, TAG))
+                scores.append(0.0 if key is None else tags.get(key, TAG))
         a, b = best_region(scores)
         parts = [" " if kind == "t" else "" if out else text for kind, _, text, _, out, _ in page.items[a:b]]
         text = " ".join("".join(parts).split())

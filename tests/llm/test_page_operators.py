@@ -46,6 +46,30 @@ def test_main_text(source, want):
     assert htmltext.main_text(source, words, tags) == want
 
 
+MENU = "<html><body><nav><a href='/x'>Menu</a></nav>"
+UNFIT = [  # pages whose article markup does not hold the main text
+    (f"{MENU}<main><p>{'body ' * 30}</p></main><article class='card'><p>teaser</p></article></body></html>", "body " * 30, ""),
+    (f"{MENU}<div><p>{'body ' * 30}</p></div><article class='card'><p>teaser</p></article></body></html>", "body " * 30, ""),
+    (f"{MENU}<article><p>{'one ' * 20}</p></article><p>{'two ' * 40}</p><article><p>{'three ' * 20}</p></article></body></html>",
+     "one " * 20 + "two " * 40 + "three " * 20, ""),
+    (f"{MENU}<div><p>{'body ' * 10}</p></div><section class='comments'><article><p>{'reply ' * 40}</p></article></section>", "body " * 10, "reply"),
+]
+
+
+@pytest.mark.parametrize("source,want,absent", UNFIT)
+def test_learned_weights_decide_and_not_the_markup_of_the_page(source, want, absent):
+    words, tags = htmltext.learn_weights([s for s, _ in PAGES if s])
+    got = htmltext.main_text(source, words, tags)
+    assert want.strip() in got and (not absent or absent not in got)
+    # with other weights the same page gives another text
+    assert htmltext.main_text(source, words | {"p": -htmltext.CLIP}, tags) != got
+
+
+def test_pages_with_a_minor_article_or_several_are_no_labels():
+    assert [htmltext.Page(s).label() for s, _, _ in UNFIT] == [1, 0, 0, 0]
+    assert htmltext.Page(PAGES[0][0]).label() == 2
+
+
 def test_best_region_matches_brute_force():
     rng = random.Random(1)
     for _ in range(200):

@@ -1,16 +1,20 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-Candidates are long mixed tokens and values given to names such as ``password``.
+Candidates are long mixed tokens, tokens of a published key format, values given
+to names such as ``password`` and the user-info of URLs.
 Their features are length, character transitions, dictionary coverage, the path
 they stand in and the words beside them. A random forest is trained on labelled
-findings: tokens of a published key format or given to such a name are secrets;
-plain numbers, addresses, placeholders and words are not.
+findings: tokens of a published key format, given to such a name (in a URL's query,
+too) or standing in a URL's user-info are secrets; plain numbers, URL paths, mail
+addresses, placeholders and words are not. A finding known to be a secret stays one
+whatever the forest says; all others are decided by the forest.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -35,16 +39,27 @@ _NAMED = re.compile(rf"""(?i)({_NAMES})["']?[ \t]*[=:][ \t]*["']?$""")
 _NEAR = re.compile(rf"(?i)({_NAMES}|\bkey\b)")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{12,}={0,2}")
 _ASSIGNED = re.compile(rf"""(?i)(?:{_NAMES})["']?[ \t]*[=:][ \t]*["']?([^\s"'<>,;]{{6,}})""")
-_WORTH = re.compile(r"[0-9]|[=:][ \t]*[\"']?\S")
+_WORTH = re.compile(r"[0-9]|[=:][ \t]*[\"']?\S|[A-Za-z+/_\-]{16}")
+# what ends a named value: the next name=value pair, in a URL also its delimiters
+_NEXT_PAIR = re.compile(r"&(?=[\w.\-]+=)")
+_URL_PART = re.compile(r"[&#;@]")
+_USER_INFO = re.compile(r"""://([^\s/?#:@"'<>]*)(?::([^\s/?#"'<>]+))?@(?=[\w\[])""")
+_MAIL = re.compile(r"[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)*\.[A-Za-z]{2,}")
 # published key formats
 _FORMATS = re.compile(r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk_live_[A-Za-z0-9]{16,}|"
                       r"xox[abpr]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10,}")
+_FORMATTED = re.compile(rf"(?<![A-Za-z0-9])(?:{_FORMATS.pattern})(?![A-Za-z0-9])")
 _PLACEHOLDER = re.compile(r"(?i)example|sample|dummy|changeme|placeholder|your|x{4,}|12345678|abcdef12|(.)\1{5,}")
+_WORDS = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[A-Za-z][a-z]{2,}(?:[A-Z][a-z]{2,})+)(?:[\-/_]+(?:[A-Z]?[a-z]+|[A-Z]+))*")
+_CONSONANTS = re.compile(r"(?i)[bcdfghj-np-tvwxz]{6}")
+_NO_PASSWORD = re.compile(rf"(?i)(?:{_NAMES}|pass|pw|user(?:name)?|x-oauth-basic|x-access-token|oauth2?|[$%{{\[(].*|\*+|\.+)")
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 FEATURES = ("length", "changes", "digits", "uppers", "entropy", "likelihood", "coverage", "hex", "path", "address",
             "named", "near", "quoted", "word_before", "word_after")
 _FINDING = "array<struct<start:int,n_chars:int,digest:string,label:int,x:array<float>>>"
 _WINDOW = 40  # characters beside a candidate that are looked at
+_URL_CHARS = 2000  # longest part of a URL before a candidate
+_BARE, _BITS = 16, 3.5  # least characters and entropy a character of a bare token without a digit
 
 
 class Language:
@@ -83,49 +98,126 @@ class Language:
         return covered / max(1, len(low))
 
 
+def entropy(s: str) -> float:
+    return -sum(c / len(s) * np.log2(c / len(s)) for c in Counter(s).values())
+
+
+def mixed(s: str) -> bool:
+    """Letters of both cases with capitals inside, of high entropy."""
+    return len(s) >= _BARE and bool(re.search(r"[a-z][A-Z]", s)) and entropy(s) >= _BITS
+
+
 def spans(text: str) -> list[tuple[int, int]]:
-    """Candidate spans in text order; none overlap."""
+    """Candidate spans in text order; none overlap. User-info of URLs goes before
+    named values, these before tokens of key formats, and these before bare tokens."""
     if not _WORTH.search(text):
         return []
-    found = {m.span(1) for m in _ASSIGNED.finditer(text)} if "=" in text or ":" in text else set()
-    taken = sorted(found)
+    taken: list[tuple[int, int]] = []
+
+    def take(found) -> None:
+        """Adds, in text order, what overlaps nothing taken before."""
+        nonlocal taken
+        old, new, end = taken, [], -1
+        for a, b in found:
+            i = bisect_left(old, (a, b))
+            if a >= end and not (i and old[i - 1][1] > a) and not (i < len(old) and old[i][0] < b):
+                new.append((a, b))
+                end = b
+        taken = sorted(old + new)
+
+    if "://" in text:
+        take(m.span(g) for m in _USER_INFO.finditer(text) for g in (1, 2)
+             if g == 2 and m[2] or g == 1 and len(m[1]) >= 12 and (re.search(r"[0-9]", m[1]) or mixed(m[1])))
+    if "=" in text or ":" in text:
+        take(_named_values(text))
+    take(m.span() for m in _FORMATTED.finditer(text))
+    bare = []
     for m in _CANDIDATE.finditer(text):
-        if re.search(r"[0-9]", m[0]) and not any(a < m.end() and m.start() < b for a, b in taken):
-            found.add(m.span())
-    out, end = [], -1
-    for a, b in sorted(found):
-        if a >= end:
-            out.append((a, b))
-            end = b
-    return out
+        i, at = bisect_left(taken, m.span()), m.start()
+        cuts = taken[max(0, i - 1):bisect_left(taken, (m.end(), 0))]
+        for a, b in [*cuts, (m.end(), m.end())]:
+            part = text[at:max(at, a)]
+            if len(part) >= 12 and (re.search(r"[0-9]", part) or len(part) >= _BARE and entropy(part) >= _BITS):
+                bare.append((at, a))
+            at = max(at, b)
+    take(bare)
+    return taken
+
+
+def _named_values(text: str):
+    at = 0
+    while m := _ASSIGNED.search(text, at):
+        a, b = m.span(1)
+        if "://" in m[1]:  # the value is a URL, whose parts are looked at
+            at = a
+            continue
+        ends = [x.start() for x in (_NEXT_PAIR.search(text, a, b), _url(text, a) >= 0 and _URL_PART.search(text, a, b)) if x]
+        b = min([b, *ends])
+        if b - a >= 6:
+            yield a, b
+        at = max(b, a + 1)
+
+
+def _url(text: str, a: int) -> int:
+    """Where the host part of the URL that ``a`` stands in begins; -1 outside URLs."""
+    i = text.rfind("://", max(0, a - _URL_CHARS), a)
+    return i + 3 if i >= 0 and not re.search(r"\s", text[i:a]) else -1
+
+
+def place(text: str, a: int, b: int) -> str:
+    """"user-info" or "named" for what stands where secrets are given, "address"
+    for parts of URLs and mail addresses, else ""."""
+    s, before = text[a:b], text[max(0, a - _WINDOW):a]
+    host = _url(text, a)
+    if host >= 0 and not re.search(r"[/?#]", text[host:a]) and s[:1] != "/":
+        if text[b:b + 1] == "@":  # a password, or a user without one
+            return "user-info"
+        if a == host and re.match(r":[^\s/?#]*@", text[b:b + _URL_CHARS]):
+            return ""  # a user with a password
+    if _NAMED.search(before):
+        return "named"
+    left, right = re.search(r"\S*$", before)[0], re.match(r"\S*", text[b:b + _WINDOW])[0]
+    return "address" if host >= 0 or "@" in left + right else ""
 
 
 def features(text: str, a: int, b: int, language: Language) -> list[float]:
     s = text[a:b]
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "o" for c in s]
-    n, counts = len(s), Counter(s)
+    n = len(s)
     before, after = text[max(0, a - _WINDOW):a], text[b:b + _WINDOW]
     left = re.search(r"\S*$", before)[0]
     right = re.match(r"\S*", after)[0]
+    where = place(text, a, b)
+    given = where in ("user-info", "named")
     near = re.findall(r"[^\W\d_]+", before.lower())[-1:] + [""]
     beyond = re.findall(r"[^\W\d_]+", after.lower())[:1] + [""]
     return [np.log(n), sum(x != y for x, y in zip(kinds, kinds[1:])) / max(1, n - 1), kinds.count("d") / n, kinds.count("u") / n,
-            -sum(c / n * np.log2(c / n) for c in counts.values()), language.likelihood(s), language.coverage(s),
+            entropy(s), language.likelihood(s), language.coverage(s),
             float(bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s))), float("/" in left + right or "\\" in left + right),
-            float("@" in left + right or "://" in left or "." in left[-1:] or "www." in left),
-            float(bool(_NAMED.search(before))), float(bool(_NEAR.search(before))), float(before[-1:] in "\"'`" and before != ""),
+            float(not given and not _FORMATS.fullmatch(s) and (where == "address" or "." in left[-1:] or "www." in left)),
+            float(given), float(bool(_NEAR.search(before))), float(before[-1:] in "\"'`" and before != ""),
             float(near[0] in language.words), float(beyond[0] in language.words)]
 
 
 def known_label(text: str, a: int, b: int) -> int | None:
     """1 or 0 where the finding's nature is known from its format or place."""
-    s, before = text[a:b], text[max(0, a - _WINDOW):a]
-    left, right = re.search(r"\S*$", before)[0], re.match(r"\S*", text[b:b + _WINDOW])[0]
-    if _PLACEHOLDER.search(s) or re.fullmatch(r"[\d\-+/ ]+", s) or "@" in left + right or "://" in left:
+    s = text[a:b]
+    where = place(text, a, b)
+    if _PLACEHOLDER.search(s) or where != "user-info" and re.fullmatch(r"[\d\-+/ ]+", s):
         return 0
-    if _FORMATS.fullmatch(s) or _NAMED.search(before) and re.search(r"\d", s) and re.search(r"[A-Za-z]", s) and len(set(s)) >= 6:
+    if _FORMATS.fullmatch(s):
         return 1
-    return None
+    odd = re.search(r"\d", s) and re.search(r"[A-Za-z]", s) and len(set(s)) >= 6 or mixed(s)
+    if where == "user-info":
+        if _NO_PASSWORD.fullmatch(s):
+            return 0
+        return 1 if text[a - 1] == ":" or odd else None
+    if where == "named":
+        return 1 if odd and not _MAIL.fullmatch(s) else None
+    if where == "address":
+        return 0
+    # words and joined words are none, other bare tokens are left to the forest
+    return 0 if _WORDS.fullmatch(s) and not _CONSONANTS.search(s) else None
 
 
 class Forest:
@@ -233,15 +325,17 @@ def score_column(x: Column, forest: Forest) -> Column:
 
 def scan_secrets(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """documents -> doc_id, start, n_chars, digest, score, is_secret: one row per
-    candidate finding, false positives marked by ``is_secret`` false.
+    candidate finding, false positives marked by ``is_secret`` false; ``score`` is
+    the forest's, and findings known to be secrets are so at any score.
 
     Null and empty texts have no findings. Repeated rows give their findings
     again. Without labelled findings of both classes every finding gets the one
     class there is, or 0. An empty table gives an empty table."""
     found = materialize(candidates(docs, learn_language(docs)), "secret-findings")
     forest = train(found)
-    return (found.select("doc_id", "start", "n_chars", "digest", score_column(F.col("x"), forest).alias("score"))
-            .withColumn("is_secret", F.col("score") >= threshold))
+    known = F.coalesce(F.col("label") == 1, F.lit(False))
+    return (found.select("doc_id", "start", "n_chars", "digest", score_column(F.col("x"), forest).alias("score"), known.alias("known"))
+            .select("doc_id", "start", "n_chars", "digest", "score", (F.col("known") | (F.col("score") >= threshold)).alias("is_secret")))
 
 
 def mask_secrets(docs: DataFrame, threshold: float = THRESHOLD, mask: str = MASK) -> DataFrame:
@@ -254,12 +348,13 @@ def mask_secrets(docs: DataFrame, threshold: float = THRESHOLD, mask: str = MASK
 
     @arrow_udf("string")
     def masked(texts: pa.Array) -> pa.Array:
-        whole = texts.to_pylist()
+        given = texts.to_pylist()
+        whole = list(given)
         places = [(i, a, b) for i, t in enumerate(whole) for a, b in spans(t or "")]
         if places:
             scores = forest.score(np.array([features(whole[i], a, b, language) for i, a, b in places], np.float32))
             for (i, a, b), s in reversed(list(zip(places, scores))):
-                if s >= threshold:
+                if s >= threshold or known_label(given[i], a, b) == 1:
                     whole[i] = whole[i][:a] + mask + whole[i][b:]
         return pa.array(whole, pa.string())
 

@@ -1,5 +1,6 @@
 """Quality rules, SimHash, classifiers, secrets, tokens and mixing."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -253,6 +254,50 @@ def test_secrets_are_found_and_masked(spark):
     assert secrets.scan_secrets(no_docs(spark)).count() == 0 and secrets.mask_secrets(no_docs(spark)).count() == 0
 
 
+def planted_kinds(n=12):
+    rng = random.Random(20)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    some = lambda k, of: "".join(rng.choice(of) for _ in range(k))
+    kinds = {"query": lambda: ("ghp_" + some(36, letters + "0123456789"), "https://h.org/?access_token={}&page=2"),
+             "named query": lambda: (some(14, letters + "0123456789") + "a1B2c3", "https://h.org/a/b?password={}#top"),
+             "user": lambda: ("ghp_" + some(36, letters + "0123456789"), "https://{}@github.com/a/b.git"),
+             "password": lambda: (some(9, letters) + "7", "postgres://user:{}@host.org:5432/db"),
+             "path": lambda: ("AKIA" + some(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), "https://h.org/files/{}/raw"),
+             "letters": lambda: (some(28, letters), 'token = "{}"')}
+    return [(kind, *make()) for kind, make in kinds.items() for _ in range(n)]
+
+
+def test_secrets_in_urls_and_without_digits(spark):
+    """Among few of their kind, beside plain paths, mail addresses and long words."""
+    rng = random.Random(21)
+    planted = planted_kinds(2)
+    made, _ = secret_docs(spark)
+    plain = [f"https://ex.org/{prose(rng, 1)}12345abcde/x", "user1000000007@mail.org"]
+    docs = [*made]
+    docs += [(1000 + i, f"{prose(rng, 15)} {where.format(value)} {prose(rng, 15)}", "s") for i, (_, value, where) in enumerate(planted)]
+    docs += [(2000 + i, f"{prose(rng, 15)} {plain[i % 2]} and donaudampfschifffahrtsgesellschaft {prose(rng, 15)}", "s") for i in range(20)]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    text = {d: t for d, t, _ in docs}
+    hits = {(r.doc_id, text[r.doc_id][r.start:r.start + r.n_chars]) for r in secrets.scan_secrets(table).collect() if r.is_secret}
+    assert {(1000 + i, value) for i, (_, value, _) in enumerate(planted)} == {h for h in hits if 1000 <= h[0] < 2000}
+    assert not [h for h in hits if h[0] >= 2000]
+    after = {r.doc_id: r.text for r in secrets.mask_secrets(table).collect()}
+    for i, (_, value, _) in enumerate(planted):
+        assert after[1000 + i] == text[1000 + i].replace(value, secrets.MASK)
+
+
+def test_bare_tokens_without_a_digit_are_candidates_and_judged(spark):
+    rng = random.Random(22)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    bare = ["".join(rng.choice(letters) for _ in range(32)) for _ in range(40)]
+    made, _ = secret_docs(spark)
+    docs = [*made, *((1000 + i, f"{prose(rng, 15)} {'' if i % 2 else 'token = '}{b} {prose(rng, 15)}", "s") for i, b in enumerate(bare))]
+    found = secrets.scan_secrets(spark.createDataFrame(docs, "doc_id bigint, text string, source string")).where("doc_id >= 1000").collect()
+    assert {r.digest for r in found} == {hashlib.sha256(b.encode()).hexdigest() for b in bare}
+    judged = {r.digest: r.is_secret for r in found}
+    assert np.mean([judged[hashlib.sha256(b.encode()).hexdigest()] for b in bare]) > 0.9
+
+
 def test_forest_separates_and_handles_one_class():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, len(secrets.FEATURES))).astype(np.float32)

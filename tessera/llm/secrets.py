@@ -26,10 +26,8 @@ from pyspark.sql.functions import arrow_udf
 from ..session import materialize
 from .common import packed
 
-SAMPLE_TEXTS = 2000  # texts that the dictionary and the transitions are taken from
-SAMPLE_CHARS = 20_000  # longer texts are scanned in full but not sampled
 SAMPLE_FINDINGS = 4000  # most labelled findings of each class that are fitted on
-DICTIONARY = 5000  # most common words
+DICTIONARY = 5000  # most common words of all texts, which bounds what reaches the driver
 TREES, DEPTH, MIN_LEAF, CUTS = 30, 8, 3, 16
 THRESHOLD = 0.5
 MASK = "[SECRET]"
@@ -63,17 +61,15 @@ _BARE, _BITS = 16, 3.5  # least characters and entropy a character of a bare tok
 
 
 class Language:
-    """Common words and letter transitions of a sample of texts."""
+    """Common words, and letter transitions by their counts: pairs of "a" to "z"
+    and "#" for any other character."""
 
-    def __init__(self, texts: list[str]):
-        words = Counter(w for t in texts for w in re.findall(r"[^\W\d_]{3,}", t.lower()))
-        common = sorted(words, key=lambda w: (-words[w], w))[:DICTIONARY]
-        self.words = frozenset(common)
-        self.longest = min(20, max(map(len, common), default=0))
+    def __init__(self, words: list[str], transitions: dict[str, int]):
+        self.words = frozenset(words)
+        self.longest = min(20, max(map(len, words), default=0))
         pairs = np.ones((27, 27))
-        for w in common:
-            codes = self._codes(w)
-            np.add.at(pairs, (codes[:-1], codes[1:]), words[w])
+        for pair, n in transitions.items():
+            pairs[tuple(self._codes(pair))] += n
         self.logp = np.log(pairs / pairs.sum(axis=1, keepdims=True))
 
     @staticmethod
@@ -282,11 +278,16 @@ class Forest:
 
 
 def learn_language(docs: DataFrame) -> Language:
-    """From the texts of the first ``SAMPLE_TEXTS`` ids by hash."""
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    rows = rows.where(F.length("text") <= SAMPLE_CHARS)
-    ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_TEXTS)
-    return Language([r.text for r in rows.join(ids, "doc_id", "left_semi").select("text").limit(2 * SAMPLE_TEXTS).collect()])
+    """From the counts of all words of all whole texts, repeated rows included.
+    The letter pairs are summed from these counts; their number is bounded."""
+    text = F.lower(F.col("text").cast("string"))
+    words = docs.select(F.explode(F.regexp_extract_all(text, F.lit(r"\p{L}{3,}"), F.lit(0))).alias("word"))
+    counts = materialize(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "secret-words")
+    common = counts.orderBy(F.desc("n"), "word").limit(DICTIONARY).collect()
+    plain = F.regexp_replace("word", "[^a-z]", "#")
+    pairs = F.transform(F.sequence(F.lit(1), F.length(plain) - 1), lambda i: F.substring(plain, i, F.lit(2)))
+    sums = counts.select("n", F.explode(pairs).alias("pair")).groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    return Language([r.word for r in common], {r.pair: r.n for r in sums})
 
 
 def candidates(docs: DataFrame, language: Language) -> DataFrame:

@@ -298,6 +298,23 @@ def test_bare_tokens_without_a_digit_are_candidates_and_judged(spark):
     assert np.mean([judged[hashlib.sha256(b.encode()).hexdigest()] for b in bare]) > 0.9
 
 
+def test_the_dictionary_counts_all_words_of_all_whole_texts(spark, monkeypatch):
+    rng = random.Random(23)
+    data = [(i, prose(rng, 5)) for i in range(2500)] + [(3000 + i, "Ödipus zzyzx " * 2500) for i in range(2)] + [(None, "nullid " * 9), (None, None)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string")
+    counts = Counter(w for _, t in data for w in re.findall(r"[^\W\d_]{3,}", (t or "").lower()))
+    monkeypatch.setattr(secrets, "DICTIONARY", 50)
+    got = secrets.learn_language(docs)
+    assert got.words == set(sorted(counts, key=lambda w: (-counts[w], w))[:50]) >= {"zzyzx", "ödipus"}
+    pairs = np.ones((27, 27))
+    for w, n in counts.items():
+        codes = ["abcdefghijklmnopqrstuvwxyz".find(c) % 27 for c in w]
+        np.add.at(pairs, (codes[:-1], codes[1:]), n)
+    assert np.allclose(got.logp, np.log(pairs / pairs.sum(axis=1, keepdims=True)))
+    again = secrets.learn_language(docs.repartition(7))
+    assert again.words == got.words and (again.logp == got.logp).all()
+
+
 def test_forest_separates_and_handles_one_class():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, len(secrets.FEATURES))).astype(np.float32)

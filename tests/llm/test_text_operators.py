@@ -345,6 +345,16 @@ def test_pieces_are_those_of_the_sentencepiece_library(spark):
     assert pieces.encode_documents(no_docs(spark), model).count() == 0
 
 
+def test_pieces_of_a_documents_table_are_those_of_the_sentencepiece_library(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").select("lang", "text").collect()
+    texts = [r.text for r in docs]
+    texts.append("\n".join(texts[:200]))  # longer than any, in all languages
+    assert len({r.lang for r in docs}) >= 4 and max(map(len, texts)) > 50_000
+    model = queries.model_bytes()
+    assert pieces.read_model(model)["type"] != pieces.UNIGRAM
+    assert pieces.parity(model, texts) == []
+
+
 def test_unigram_models_from_their_protobuf():
     """A hand-made unigram model: fields are written by this test, byte by byte."""
     import struct

@@ -199,6 +199,15 @@ def test_toxicity_held_out_accuracy_and_edges(spark):
     assert toxicity.toxicity_scores(docs, labels.limit(0)).where("predicted = 1").count() == 0
 
 
+def test_toxicity_is_fitted_on_2500_positives_and_7500_unlabelled(spark, monkeypatch):
+    docs = spark.range(11_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word number "), "id").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") < 4000).cast("int").alias("toxic"))
+    sizes = []
+    monkeypatch.setattr(toxicity, "fit_nnpu", lambda positive, unlabelled, prior: sizes.append((len(positive), len(unlabelled))) or ({}, 0.0))
+    toxicity.fit(docs, labels)
+    assert sizes == [(2500, 7500)]
+
+
 def test_nnpu_learns_from_positives_and_unlabelled_only():
     rng = np.random.default_rng(0)
     clean = [{f"w{k}" for k in rng.integers(0, 200, 30)} for _ in range(600)]

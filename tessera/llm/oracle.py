@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import pii as P
 from . import quality as Q
 from . import topk as T
 from . import warc as W
@@ -64,6 +65,63 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
 FROM f
 """
 
+#: The patterns as the contract writes them; RE2 needs no help to stay linear.
+_PII_PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}",
+    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+    "tel": r"\+[0-9][\x20().0-9-]+[0-9]|\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}"}
+_DIGITS = "regexp_replace(s, '[^0-9]', '', 'g')"
+_ACCOUNT = "replace(s, ' ', '')"
+_TURNED = f"(substr({_ACCOUNT}, 5) || substr({_ACCOUNT}, 1, 4))"
+_PII_CHECKS = {
+    "email": "true",
+    "ip": "len(list_filter(string_split(s, '.'), lambda x: length(ltrim(x, '0')) > 3 OR (CASE WHEN ltrim(x, '0') = '' OR length(ltrim(x, '0')) > 3 "
+          "THEN 0 ELSE ltrim(x, '0')::INT END) > 255)) = 0",
+    "card": f"length({_DIGITS}) BETWEEN 12 AND 19 AND list_sum(list_transform(list_reverse(string_split({_DIGITS}, '')), lambda x, i: "
+            "CASE WHEN i % 2 = 1 THEN x::INT ELSE 2 * x::INT - 9 * (x::INT > 4)::INT END)) % 10 = 0",
+    "phone": f"length({_DIGITS}) BETWEEN 9 AND 15",
+    "iban": "NOT regexp_matches(bef, '[A-Za-z0-9]$') AND NOT regexp_matches(aft, '^[A-Za-z0-9]') AND list_reduce(list_prepend(0::BIGINT, "
+            f"list_transform(string_split({_TURNED}, ''), lambda x: (CASE WHEN ascii(x) < 65 THEN ascii(x) - 48 ELSE ascii(x) - 55 END)::BIGINT)), "
+            "lambda a, x: (a * (CASE WHEN x < 10 THEN 10 ELSE 100 END) + x) % 97) = 1",
+    "ssn": "NOT regexp_matches(bef, '[0-9-]$') AND NOT regexp_matches(aft, '^[0-9-]') AND left(s, 3) NOT IN ('000', '666') AND left(s, 1) <> '9' "
+           "AND substr(s, 5, 2) <> '00' AND right(s, 4) <> '0000'",
+    "tel": "NOT regexp_matches(bef, '[0-9A-Za-z.+-]$') AND NOT regexp_matches(aft, '^[0-9A-Za-z-]') AND left(s, 1) <> '+'"}
+
+
+def _pii_kind(kind: str) -> str:
+    w, pattern = P.WEIGHTS[kind], _PII_PATTERNS[kind].replace("'", "''")
+    said = "regexp_matches(lower(bef || ' ' || aft), '(?:^|[^a-z])(?:{})(?:[^a-z]|$)')"
+    score = f"{w.prior} + CASE WHEN {said.format(w.near)} THEN {w.gain} ELSE 0 END"
+    if w.against:
+        score += f" - CASE WHEN {said.format(w.against)} THEN {w.loss} ELSE 0 END"
+    kept = "m"
+    if kind == "iban":
+        sizes = " ".join(f"WHEN left(m, 2) IN ({', '.join(repr(c) for c in cs.split())}) THEN {n - 1}" for n, cs in P.IBAN_LENGTHS.items())
+        kept = f"nullif(regexp_extract(m, '^[A-Z0-9](?: ?[A-Z0-9]){{' || (CASE {sizes} ELSE 99 END) || '}}'), '')"
+    least = "true" if kind in P.BASE_KINDS else f"score >= {P.MIN_SCORE}"
+    return f"""
+{kind}_cut AS (SELECT rid, regexp_extract_all(text, '{pattern}') AS ms, string_split_regex(text, '{pattern}') AS gs FROM docs),
+{kind}_rows AS (SELECT rid, unnest(ms) AS m, unnest(range(1, len(ms) + 1)) AS i, unnest(gs[1:len(ms)]) AS g, unnest(gs[2:len(ms) + 1]) AS g2 FROM {kind}_cut),
+{kind}_at AS (SELECT *, sum(length(g) + length(m)) OVER w - length(m) AS b,
+  right(coalesce(right(lag(g) OVER w, {P.CONTEXT}) || lag(m) OVER w, '') || g, {P.CONTEXT}) AS bef, {kept} AS s
+  FROM {kind}_rows WINDOW w AS (PARTITION BY rid ORDER BY i)),
+{kind}_near AS (SELECT rid, b, s, bef, left(substr(m, length(s) + 1) || g2, {P.CONTEXT}) AS aft FROM {kind}_at WHERE s IS NOT NULL),
+{kind}_spans AS (SELECT * FROM (SELECT rid, b, {P.KINDS.index(kind)} AS ord, b + length(s) AS e, '{kind}' AS kind, {score} AS score FROM {kind}_near
+  WHERE {_PII_CHECKS[kind]}) WHERE {least})"""
+
+
+OP12 = f"""WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+{','.join(_pii_kind(k) for k in P.KINDS)},
+spans AS ({' UNION ALL '.join(f'SELECT * FROM {k}_spans' for k in P.KINDS)}),
+found AS (SELECT rid, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in P.BASE_KINDS)},
+  string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, ord) FILTER (ord < {len(P.BASE_KINDS)}) AS base,
+  string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, ord) AS spans, count(*) FILTER (ord >= {len(P.BASE_KINDS)}) AS n_added,
+  string_agg(format('{{:.2f}}', score::DOUBLE), ',' ORDER BY b, ord) AS scores FROM spans GROUP BY rid)
+SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in P.BASE_KINDS)}, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(n_added, 0) AS n_added, coalesce(scores, '') AS scores FROM docs LEFT JOIN found USING (rid)
+"""
+
 
 def sql() -> dict[str, str]:
-    return {"op4_quality_rules": OP4, "op8_exact_top_k": OP8, "op9_warc": OP9}
+    return {"op4_quality_rules": OP4, "op8_exact_top_k": OP8, "op9_warc": OP9, "op12_pii": OP12}

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, htmltext, mixing, pieces, quality, secrets, simhash, topk, toxicity, warc
+from . import compression, htmltext, mixing, pieces, pii, quality, secrets, simhash, topk, toxicity, variants, warc, whitening
 from .common import table
 
 #: A public SentencePiece model file; override with the environment's own path.
@@ -70,8 +70,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_rows(table(spark, sf_dir, "embeddings"))
+
+
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
     ops = (op1_mixing, op2_html_extraction, op3_secret_scan, op4_quality_rules, op5_simhash, op6_quality_classifier,
-           op7_sentencepiece, op8_exact_top_k, op9_warc, op10_toxicity)
+           op7_sentencepiece, op8_exact_top_k, op9_warc, op10_toxicity, op11_whitening, op12_pii, op13_spelling_variants)
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..session import materialize
 from .indexing import dense_index
 
 
@@ -74,7 +75,10 @@ def max_list_length(lists: DataFrame, codes_col: str = "codes") -> Column:
 
 def pad_label_list(lists: DataFrame, codes_col: str = "codes", out_col: str = "padded",
                    pad_value: int = P.PAD_VALUE, max_len: Column | None = None) -> DataFrame:
-    """Right-pad each list with ``pad_value`` up to the longest list."""
+    """Right-pad each list with ``pad_value`` up to the longest list. The lists are
+    stored first, so that the longest is found without making them again."""
+    if max_len is None:
+        lists = materialize(lists, "label-lists")
     m = max_list_length(lists, codes_col) if max_len is None else max_len
     fill = F.array_repeat(F.lit(pad_value), m - F.size(codes_col))
     return lists.withColumn(out_col, F.concat(F.col(codes_col), fill))

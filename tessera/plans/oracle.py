@@ -10,6 +10,7 @@ from __future__ import annotations
 from ..functions import patterns as P
 from .fixtures import PARTIAL_SEEDS
 from .flow import MAX_DEPTH
+from .ml_queries import NET_FILTERS, NET_HIDDEN, NET_POOLS, NET_WIDTH
 
 NL = "chr(10)"
 R1 = P.NUMERIC_BRACKETS
@@ -153,7 +154,9 @@ def _lemma_sql() -> str:
     return with_(
         f"words AS (SELECT DISTINCT w AS word FROM (SELECT unnest({tokens_of('text')}) AS w FROM documents))",
         *_lemma_ctes(),
-    ) + "SELECT w.word, coalesce(b.lemma, w.word) AS lemma FROM words w LEFT JOIN best b USING (word)"
+        TOKS,
+    ) + ("SELECT t.doc_id, coalesce(b.lemma, t.word) AS lemma, count(*) AS n FROM toks t LEFT JOIN best b USING (word) "
+         "GROUP BY t.doc_id, coalesce(b.lemma, t.word)")
 
 
 def _lemma_vocabulary_sql() -> str:
@@ -179,6 +182,42 @@ def _wiki_sql() -> str:
     return f"SELECT doc_id, {c} AS plain FROM documents"
 
 
+def _conv_net_sql() -> str:
+    """The net of ``ml_queries.conv_net_weights`` as joins and sums; b of a unit is the
+    stored weight of its number."""
+    def bias(unit: str) -> str:
+        return f"(SELECT x FROM fw WHERE pl = {unit} % (SELECT n FROM nw))"
+
+    def cycled(unit: str, size: str, i: str) -> str:
+        return f"({unit} * {size} + {i}) % (SELECT n FROM nw)"
+    f1, f2, k, p1, p2, h = NET_FILTERS[0], NET_FILTERS[1], NET_WIDTH, NET_POOLS[0], NET_POOLS[1], NET_HIDDEN
+    return with_(
+        P1, "wd AS (SELECT max(len(embedding)) AS d FROM embeddings)",
+        "fw AS (SELECT unit * (SELECT d FROM wd) + dim AS pl, w AS x FROM p1)", "nw AS (SELECT count(*) AS n FROM fw)",
+        f"sz AS (SELECT (d - {k} + 1) // {p1} AS w1, ((d - {k} + 1) // {p1} - {k} + 1) // {p2} AS w2 FROM wd)",
+        f"k1 AS (SELECT o, j, x AS w FROM (SELECT unnest(range({f1})) AS o) a CROSS JOIN (SELECT unnest(range({k})) AS j) b "
+        f"JOIN fw ON pl = {cycled('o', str(k), 'j')})",
+        f"c1 AS (SELECT vec_id, o, i, sum(el.x * k1.w) AS c FROM el, k1, (SELECT unnest(range((SELECT w1 FROM sz) * {p1})) AS i) p "
+        f"WHERE el.dim = i + {k - 1} - j GROUP BY vec_id, o, i)",
+        f"m1 AS (SELECT vec_id, o, i // {p1} AS q, max(c) AS m FROM c1 GROUP BY ALL)",
+        f"b1 AS (SELECT o, {bias('o')} AS b FROM (SELECT unnest(range({f1})) AS o))",
+        "a1 AS (SELECT vec_id, m1.o AS m, q, tanh(m1.m + b) AS x FROM m1 JOIN b1 ON m1.o = b1.o)",
+        f"k2 AS (SELECT o, m, j, x AS w FROM (SELECT unnest(range({f2})) AS o) a CROSS JOIN (SELECT unnest(range({f1})) AS m) b "
+        f"CROSS JOIN (SELECT unnest(range({k})) AS j) c JOIN fw ON pl = {cycled('o', str(f1 * k), f'm * {k} + j')})",
+        f"c2 AS (SELECT vec_id, o, a1.q - {k - 1} + j AS i, sum(a1.x * k2.w) AS c FROM a1 JOIN k2 USING (m) "
+        f"WHERE a1.q - {k - 1} + j BETWEEN 0 AND (SELECT w2 FROM sz) * {p2} - 1 GROUP BY ALL)",
+        f"m2 AS (SELECT vec_id, o, i // {p2} AS q, max(c) AS m FROM c2 GROUP BY ALL)",
+        f"b2 AS (SELECT o, {bias('o')} AS b FROM (SELECT unnest(range({f2})) AS o))",
+        "a2 AS (SELECT vec_id, m2.o * (SELECT w2 FROM sz) + q AS i, tanh(m2.m + b) AS x FROM m2 JOIN b2 ON m2.o = b2.o)",
+        f"kh AS (SELECT u, i, x AS w FROM (SELECT unnest(range({h})) AS u) a CROSS JOIN (SELECT unnest(range({f2} * (SELECT w2 FROM sz))) AS i) b "
+        f"JOIN fw ON pl = {cycled('u', f'({f2} * (SELECT w2 FROM sz))', 'i')})",
+        f"hid AS (SELECT vec_id, u, tanh(sum(a2.x * kh.w) + any_value({bias('u')})) AS x FROM a2 JOIN kh USING (i) GROUP BY vec_id, u)",
+        f"ko AS (SELECT c, u, x AS w FROM (SELECT DISTINCT unit AS c FROM p1) a CROSS JOIN (SELECT unnest(range({h})) AS u) b "
+        f"JOIN fw ON pl = {cycled('c', str(h), 'u')})",
+        f"sc AS (SELECT vec_id, c, sum(hid.x * ko.w) + any_value({bias('c')}) AS s FROM hid JOIN ko USING (u) GROUP BY vec_id, c)",
+    ) + "SELECT vec_id, CAST(c AS BIGINT) AS pred FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, c) AS r FROM sc) WHERE r = 1"
+
+
 def _ints(expr: str) -> str:
     return f"array_to_string({expr}, ',')"
 
@@ -313,14 +352,15 @@ def sql() -> dict[str, str]:
         f"SELECT {rnd('avg(-ln(pr.p))')} AS nll FROM pr JOIN embeddings e ON e.vec_id = pr.vec_id AND pr.unit = e.label")
     q["conv_pool_1d"] = with_(
         P1,
-        "f AS (SELECT unit AS filter, dim AS j, w FROM p1 WHERE unit < 3 AND dim < 5)",
-        "wd AS (SELECT max(len(embedding)) AS n FROM embeddings)",
-        "pos AS (SELECT unnest(range((SELECT n FROM wd) - 5 + 1)) AS i)",
+        "wd AS (SELECT max(len(embedding)) AS n, max(len(embedding)) // 4 AS k FROM embeddings)",
+        "f AS (SELECT unit * 4 + dim // k AS filter, dim % k AS j, w FROM p1, wd WHERE dim < 4 * k)",
+        "pos AS (SELECT unnest(range((SELECT n - k + 1 FROM wd))) AS i)",
         "conv AS (SELECT el.vec_id, f.filter, pos.i, sum(el.x * f.w) AS c FROM pos CROSS JOIN f "
-        "JOIN el ON el.dim = pos.i + (4 - f.j) GROUP BY el.vec_id, f.filter, pos.i)",
+        "JOIN el ON el.dim = pos.i + ((SELECT k FROM wd) - 1 - f.j) GROUP BY el.vec_id, f.filter, pos.i)",
         "pool AS (SELECT vec_id, filter, i // 4 AS q, max(c) AS m FROM conv "
-        "WHERE i // 4 < ((SELECT n FROM wd) - 5 + 1) // 4 GROUP BY vec_id, filter, i // 4)",
+        "WHERE i // 4 < (SELECT n - k + 1 FROM wd) // 4 GROUP BY vec_id, filter, i // 4)",
     ) + f"SELECT vec_id, CAST(filter AS BIGINT) AS filter, CAST(q AS BIGINT) AS pos, {rnd('tanh(m)')} AS value FROM pool"
+    q["score_conv_net"] = _conv_net_sql()
     q["batch_count"] = ("SELECT CAST(b AS BIGINT) AS batch_size, "
                         "CAST(ceil((SELECT count(*) FROM documents) / b) AS BIGINT) AS n_batches "
                         "FROM (VALUES (6), (20), (500)) t(b)")
@@ -332,6 +372,15 @@ def sql() -> dict[str, str]:
         "pairs AS (SELECT doc_id, unnest(range(len(codes))) AS pos, unnest(codes) AS code FROM enc)",
         "ix AS (SELECT doc_id, pos, code, row_number() OVER (ORDER BY doc_id, pos) - 1 AS idx FROM pairs)",
     ) + "SELECT doc_id, CAST(pos AS BIGINT) AS pos, CAST(code AS BIGINT) AS code, idx, idx // 6 AS batch_id FROM ix"
+    q["assemble_batches"] = with_(
+        TOKS, V1, W1, DIMS, DOCVEC, L1, DICT, ENC, "most AS (SELECT max(len(codes)) AS m FROM enc)",
+        "pairs AS (SELECT doc_id, unnest(range(len(codes))) AS pos, unnest(codes) AS code FROM enc)",
+        f"ix AS (SELECT *, row_number() OVER (ORDER BY doc_id, pos) - 1 AS idx FROM pairs)",
+        f"bt AS (SELECT *, idx // {P.LOGISTIC_BATCH} AS batch_id, idx % {P.LOGISTIC_BATCH} + 1 AS r FROM ix)",
+        "wx AS (SELECT doc_id, sum(x * (dim + 1)) AS s FROM dv GROUP BY doc_id)",
+        "padded AS (SELECT doc_id, array_to_string(list_concat(codes, list_transform(range(m - len(codes)), lambda i: -1)), ',') AS p FROM enc, most)",
+    ) + (f"SELECT batch_id, count(*) AS n_rows, {rnd('sum(s * r)')} AS features, string_agg(code, ',' ORDER BY r) AS labels, "
+         "string_agg(p, '|' ORDER BY r) AS label_lists FROM bt JOIN wx USING (doc_id) JOIN padded USING (doc_id) GROUP BY batch_id")
     q["train_test_split"] = (
         "SELECT doc_id, CASE WHEN ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % 10 < 8 "
         "THEN 'train' ELSE 'test' END AS split FROM documents")

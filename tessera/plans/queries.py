@@ -93,20 +93,20 @@ def scan_id_list(spark, sf):
 
 
 def _docs_as_files(spark, sf):
+    """All documents as one folder of ``id_<id>.txt`` files."""
     docs = _t(spark, sf, "documents").select("doc_id", F.col("source").alias("title"), "text")
     path = scratch_path(spark, "docfiles")
-    W.write_documents(docs, path, fmt="text")
+    W.write_documents(docs, path, fmt="files")
     return path
 
 
 def scan_doc_lines(spark, sf):
-    return SF.scan_doc_lines(spark, _docs_as_files(spark, sf), id_from="partition") \
+    return SF.scan_doc_lines(spark, _docs_as_files(spark, sf), strip_final_newline=False) \
         .select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line")
 
 
 def scan_documents(spark, sf):
-    return SF.scan_documents(spark, _docs_as_files(spark, sf), id_from="partition",
-                             strip_final_newline=True)
+    return SF.scan_documents(spark, _docs_as_files(spark, sf))
 
 
 def scan_category_tables(spark, sf):
@@ -429,10 +429,14 @@ def tokenize(spark, sf):
 
 
 def lemmatize_nouns(spark, sf):
-    tokens = FX.document_tokens(spark, sf)
+    """Lemmas of every document with their number. Term frequencies, not tokens, meet
+    the lemma map, so a frequent word is one row per document there."""
+    tf = materialize(V.term_frequencies(FX.document_tokens(spark, sf)), "lemma-tf")
     # the corpus words are both the words to map and the lexicon
-    words = materialize(tokens.select("word").distinct(), "words")
-    return TX.noun_lemma_map(words, words, distinct=True)
+    words = materialize(tf.select("word").distinct(), "words")
+    lemmas = materialize(TX.noun_lemma_map(words, words, distinct=True), "lemmas")
+    return (TX.lemmatize_long(tf, lemmas).groupBy("doc_id", F.col("word").alias("lemma"))
+            .agg(F.sum("tf").cast("long").alias("n")))
 
 
 def markup_to_plain(spark, sf):
@@ -482,15 +486,15 @@ def mean_nll(spark, sf):
     return E.mean_nll(_emb_scored(spark, sf), "probs", "label").select(_r("nll").alias("nll"))
 
 
-CONV_FILTERS, CONV_WIDTH, CONV_POOL = 3, 5, 4
+CONV_PARTS, CONV_POOL = 4, 4
 
 
-def conv_filters(spark, sf, n=CONV_FILTERS, width=CONV_WIDTH, offset=0):
-    """Filters from P1: unit k uses the first ``width`` weights of class k + offset."""
+def conv_filters(spark, sf, parts=CONV_PARTS):
+    """Filters from P1: the whole weights of every class, cut into ``parts`` filters each."""
     p1 = FX.class_weights(spark, sf)
-    return p1.filter((F.col("unit") >= offset) & (F.col("unit") < offset + n)).select(
-        (F.col("unit") - F.lit(offset)).alias("unit"),
-        F.array(F.slice("w", 1, width)).alias("w"), F.col("b"))
+    width = (F.size("w") / parts).cast("int")
+    return p1.select("unit", "w", "b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")).select(
+        (F.col("unit") * parts + F.col("part")).alias("unit"), F.array(F.slice("w", F.col("part") * width + 1, width)).alias("w"), "b")
 
 
 def conv_pool_1d(spark, sf):
@@ -506,7 +510,7 @@ def batch_count(spark, sf):
     n = _t(spark, sf, "documents").select(F.count(F.lit(1))).scalar()
     sizes = spark.createDataFrame([(s,) for s in (P.LOGISTIC_BATCH, P.MLP_BATCH, P.CONV_BATCH)],
                                   "batch_size long")
-    return sizes.select("batch_size", F.ceil(n / F.col("batch_size")).cast("long").alias("n_batches"))
+    return sizes.select("batch_size", B.batch_count(n, F.col("batch_size")).alias("n_batches"))
 
 
 # --------------------------------------------------------------- ml / flow ---
@@ -523,6 +527,18 @@ def assign_batches(spark, sf):
                       "idx", "batch_id")
 
 
+def assemble_batches(spark, sf):
+    """Every batch with its matrices; the feature matrix as its sum weighted by row and
+    column numbers."""
+    out = B.assemble_batches(_doc_vectors(spark, sf), _encoded(spark, sf), P.LOGISTIC_BATCH)
+
+    def weighted(values):
+        return F.aggregate(F.transform(values, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    digest = weighted(F.transform("features", lambda row: weighted(row)))
+    return out.select("batch_id", F.col("n_rows").cast("long").alias("n_rows"), _r(digest).alias("features"), _ints("labels").alias("labels"),
+                      F.array_join(F.transform("label_lists", lambda r: F.array_join(F.transform(r, lambda x: x.cast("string")), ",")), "|").alias("label_lists"))
+
+
 def train_test_split(spark, sf):
     return B.train_test_split(_t(spark, sf, "documents").select("doc_id"))
 
@@ -582,7 +598,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dense_layer": dense_layer, "zero_one_multilabel_error": zero_one_multilabel_error,
         "softmax": softmax, "mean_nll": mean_nll, "conv_pool_1d": conv_pool_1d,
         "batch_count": batch_count, "explode_pairs": explode_pairs,
-        "assign_batches": assign_batches, "train_test_split": train_test_split,
+        "assign_batches": assign_batches, "assemble_batches": assemble_batches, "train_test_split": train_test_split,
         "predict": predict, "evaluate_model": evaluate_model,
         "vectorizer_plugin": vectorizer_plugin,
     }

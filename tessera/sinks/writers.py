@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .doc_files import DocFilesSource
 
 
 def write_id_list(ids: DataFrame, path: str, id_col: str = "page_id") -> int:
@@ -24,11 +25,22 @@ def write_documents(docs: DataFrame, path: str, fmt: str = "parquet",
                     text_col: str = "text") -> None:
     """Parquet keyed (sorted within files) by ``doc_id`` by default.
 
-    ``fmt="text"`` writes one folder per document (``doc_id=<id>``) holding
-    title + newline + text, for small exports only.
+    ``fmt="files"`` writes one file per document, ``id_<id>.txt``, holding title +
+    newline + text; rows without id, title or text are left out, a repeated id fails,
+    and nothing is left of a failed job. The files are moved to their place by the
+    driver at the end (one rename each), so this is for exports.
+    ``fmt="text"`` writes one folder per document (``doc_id=<id>``), for small exports
+    only.
     """
     if fmt == "parquet":
         docs.sortWithinPartitions(id_col).write.mode("overwrite").parquet(path)
+    elif fmt == "files":
+        body = T.compose_document(title_col, text_col) if title_col else F.col(text_col)
+        whole = docs.dropna(subset=[id_col, text_col, *([title_col] if title_col else [])])
+        docs.sparkSession.dataSource.register(DocFilesSource)
+        (whole.select(F.col(id_col).cast("bigint").alias("doc_id"), body.alias("body"))
+              .repartition("doc_id").sortWithinPartitions("doc_id")  # equal ids meet in one task
+              .write.mode("overwrite").format("doc_files").save(path))
     elif fmt == "text":
         body = T.compose_document(title_col, text_col) if title_col else F.col(text_col)
         (docs.select(id_col, body.alias("value"))
@@ -61,7 +73,3 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
     metrics.select(F.col("run").cast("string"), F.col("iteration").cast("long"),
                    F.col("metric").cast("string"), F.col("value").cast("double")) \
         .write.mode("append").parquet(path)
-
-
-def save_model(model, path: str) -> None:
-    model.write().overwrite().save(path)

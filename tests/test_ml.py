@@ -20,9 +20,28 @@ def test_logistic_beats_prior_and_reload_is_equal(spark):
     assert same.filter(~F.col("same_prediction")).count() == 0 and same.count() > 0
 
 
+def numpy_conv_net(features, convs, hidden, output):
+    preds = []
+    for x in features:
+        maps = [np.asarray(x, dtype=float)]
+        for filters, pool in convs:
+            out = []
+            for w, b in filters:
+                k, width = len(w[0]), len(maps[0])
+                conv = np.array([sum(np.dot(maps[m][i:i + k], np.asarray(w[m])[::-1]) for m in range(len(maps)))
+                                 for i in range(width - k + 1)])
+                n_out = (width - k + 1) // pool
+                out.append(np.tanh(np.array([conv[q * pool:(q + 1) * pool].max() for q in range(n_out)]) + b))
+            maps = out
+        flat = np.concatenate(maps)
+        h = np.tanh(np.array([np.dot(flat, w) + b for w, b in hidden]))
+        preds.append(int(np.argmax(np.array([np.dot(h, w) + b for w, b in output]))))
+    return np.array(preds)
+
+
 def test_conv_net_matches_numpy(spark):
     emb = FX.embedding_rows(spark, SF001).orderBy("vec_id")
-    convs, hidden, output = MQ._conv_net_weights(spark, SF001)
+    convs, hidden, output = MQ.conv_net_weights(spark, SF001)
 
     def rows(df, nested):
         out = []
@@ -33,6 +52,6 @@ def test_conv_net_matches_numpy(spark):
 
     np_convs = [(rows(f, True), pool) for f, pool in convs]
     feats = np.array([r["features"] for r in emb.collect()])
-    expect = MQ.numpy_conv_net(feats, np_convs, rows(hidden, False), rows(output, False))
+    expect = numpy_conv_net(feats, np_convs, rows(hidden, False), rows(output, False))
     got = [r["pred"] for r in E.queries()["score_conv_net"](spark, SF001).orderBy("vec_id").collect()]
     assert got == expect.tolist()

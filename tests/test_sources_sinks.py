@@ -122,3 +122,37 @@ def test_drop_scratch(spark):
     t = materialize(spark.range(3), "scratch-test")
     assert t.count() == 3
     assert drop_scratch(spark)
+
+
+def test_one_file_per_document(spark, tmpdir_path):
+    out = os.path.join(tmpdir_path, "files")
+    long_text = "x\n" * 50_000
+    docs = spark.createDataFrame([(1, "t1", "a\nb"), (2, "é", "c\n"), (3, "t", ""), (4, None, "no title"), (None, "t", "no id"), (5, "t", long_text)],
+                                 "doc_id long, title string, text string").repartition(4)
+    W.write_documents(docs, out, fmt="files")
+    assert sorted(os.listdir(out)) == ["id_1.txt", "id_2.txt", "id_3.txt", "id_5.txt"]
+    with open(os.path.join(out, "id_2.txt"), encoding="utf-8") as f:
+        assert f.read() == "é\nc\n"
+    back = {r["doc_id"]: (r["title"], r["text"]) for r in SF.scan_documents(spark, out).collect()}
+    assert back == {1: ("t1", "a\nb"), 2: ("é", "c\n"), 3: ("t", ""), 5: ("t", long_text)}
+    W.write_documents(docs.where("doc_id = 1"), out, fmt="files")  # overwrites
+    assert os.listdir(out) == ["id_1.txt"]
+
+
+def test_failed_file_job_leaves_nothing(spark, tmpdir_path):
+    out = os.path.join(tmpdir_path, "files")
+    docs = spark.createDataFrame([(i, "t", "x") for i in range(20)] + [(7, "t", "again")], "doc_id long, title string, text string")
+    with pytest.raises(Exception, match="two documents with id 7"):
+        W.write_documents(docs, out, fmt="files")
+    assert not os.path.exists(out) or os.listdir(out) == []
+    W.write_documents(docs.where("doc_id <> 7"), out, fmt="files")
+    with pytest.raises(Exception, match="two documents with id 7"):
+        W.write_documents(docs, out, fmt="files")
+    assert len(os.listdir(out)) == 19  # what was there stays
+
+
+def test_many_small_files_share_a_task(spark, tmpdir_path):
+    out = os.path.join(tmpdir_path, "files")
+    W.write_documents(spark.range(300).selectExpr("id AS doc_id", "'t' AS title", "'x' AS text"), out, fmt="files")
+    docs = SF.scan_documents(spark, out)
+    assert docs.count() == 300 and docs.rdd.getNumPartitions() < 100

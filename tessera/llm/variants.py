@@ -155,9 +155,9 @@ class GramIndex:
 # -- near words -------------------------------------------------------------------------
 
 def near_words(words: DataFrame, qmin: int = QMIN, qmax: int = QMAX, extend_over: int = EXTEND_OVER) -> DataFrame:
-    """words(word, n), each word once -> (word, n, other, other_n): all pairs that
-    differ by exactly one inserted, deleted or replaced code point, each once with the
-    shorter (of equal length the lesser) word first. Words hold neither end mark."""
+    """words(word), each word once -> (word, other): all pairs that differ by exactly
+    one inserted, deleted or replaced code point, each once with the shorter (of equal
+    length the lesser) word first. Words hold neither end mark."""
     tasks = max(1, -(-words.count() // WORDS_PER_TASK))
     index = words.sparkSession.sparkContext.broadcast(gram_dictionary(words, qmin, qmax, extend_over))
 
@@ -167,17 +167,19 @@ def near_words(words: DataFrame, qmin: int = QMIN, qmax: int = QMAX, extend_over
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 keys = [own.keys(w) for w in part.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([k[0] for k in keys], pa.list_(pa.string())),
-                                                  pa.array([k[1] for k in keys], pa.list_(pa.string()))], names=["word", "n", "short", "long"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([k[0] for k in keys], pa.list_(pa.string())),
+                                                  pa.array([k[1] for k in keys], pa.list_(pa.string()))], names=["word", "short", "long"])
 
-    cut = materialize(words.repartition(tasks, "word").mapInArrow(listed, "word string, n bigint, short array<string>, long array<string>"), "variants-lists")
-    short = cut.select(F.explode("short").alias("k"), "word", "n").select(F.xxhash64("k").alias("k"), "word", "n")
-    long = cut.select(F.explode("long").alias("k"), F.col("word").alias("other"), F.col("n").alias("other_n")).select(
-        F.xxhash64("k").alias("k"), "other", "other_n", F.lit(True).alias("longer"))
-    equal = short.select("k", F.col("word").alias("other"), F.col("n").alias("other_n"), F.lit(False).alias("longer"))
-    met = short.join(equal.unionAll(long), "k").where(
-        (F.col("longer") | (F.col("word") < F.col("other"))) & (F.levenshtein("word", "other", 1) == 1))
-    return met.select("word", "n", "other", "other_n").distinct()
+    cut = materialize(words.select("word").repartition(tasks, "word").mapInArrow(listed, "word string, short array<string>, long array<string>"),
+                      "variants-lists")
+
+    def lists(of: str, name: str) -> DataFrame:
+        return cut.select(F.explode(of).alias("key"), F.col("word").alias(name)).select(F.xxhash64("key").alias("key"), name)
+    # both joins share the exchange of the lists of equal or shorter words
+    close = F.levenshtein("word", "other", 1) == 1
+    equal = lists("short", "word").join(lists("short", "other"), "key").where((F.col("word") < F.col("other")) & close)
+    longer = lists("short", "word").join(lists("long", "other"), "key").where(close)
+    return equal.select("word", "other").unionAll(longer.select("word", "other")).distinct()
 
 
 def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,11 +192,11 @@ def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     words = materialize(count_words(docs, id_col, text_col), "variants-words")
     pairs = materialize(near_words(words), "variants-pairs")
-    both = pairs.unionAll(pairs.select(F.col("other").alias("word"), F.col("other_n").alias("n"),
-                                       F.col("word").alias("other"), F.col("n").alias("other_n")))
+    both = pairs.unionAll(pairs.select(F.col("other").alias("word"), F.col("word").alias("other")))
+    counted = both.join(words.select(F.col("word").alias("other"), F.col("n").alias("other_n")), "other")
     best = F.min(F.struct(F.negative("other_n").alias("less"), F.col("other")))
-    near = both.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best.alias("best"), F.first("n").alias("own"))
-    formed = F.negative("best.less") >= F.lit(FORM_RATIO) * F.col("own")
+    near = counted.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best.alias("best")).join(words, "word")
+    formed = F.negative("best.less") >= F.lit(FORM_RATIO) * F.col("n")
     near = materialize(near.select("word", "n_near", F.when(formed, F.col("best.other")).alias("form"),
                                    F.when(formed, F.negative("best.less")).alias("form_n")), "variants-near")
     roots = near.where("form is not null").select("word", F.col("form").alias("root"))

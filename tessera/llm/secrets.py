@@ -4,10 +4,14 @@ Candidates are long mixed tokens, tokens of a published key format, values given
 to names such as ``password`` and the user-info of URLs.
 Their features are length, character transitions, dictionary coverage, the path
 they stand in and the words beside them. A random forest is trained on labelled
-findings: tokens of a published key format, given to such a name (in a URL's query,
-too) or standing in a URL's user-info are secrets; plain numbers, URL paths, mail
-addresses, placeholders and words are not. A finding known to be a secret stays one
-whatever the forest says; all others are decided by the forest.
+findings: tokens of a published key format, random-looking values given to such a
+name (in a URL's query, too) or standing in a URL's user-info are secrets; plain
+numbers, UUIDs, identifiers made of words, URL paths, mail addresses, placeholders
+and words are not, wherever they stand. Only whole tokens of a published format, and
+private key blocks, are secrets at any score; all others are decided by the forest.
+
+Every pattern enters a stretch of text a bounded number of times, so a text without
+white space takes time in proportion to its length, too.
 """
 
 from __future__ import annotations
@@ -36,27 +40,35 @@ _NAMES = r"pass(?:word|wd|phrase)?|pwd|secret|token|credential|api[_-]?key|acces
 _NAMED = re.compile(rf"""(?i)({_NAMES})["']?[ \t]*[=:][ \t]*["']?$""")
 _NEAR = re.compile(rf"(?i)({_NAMES}|\bkey\b)")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{12,}={0,2}")
-_ASSIGNED = re.compile(rf"""(?i)(?:{_NAMES})["']?[ \t]*[=:][ \t]*["']?([^\s"'<>,;]{{6,}})""")
-_WORTH = re.compile(r"[0-9]|[=:][ \t]*[\"']?\S|[A-Za-z+/_\-]{16}")
+_GIVEN = re.compile(rf"""(?i)(?:{_NAMES})["']?[ \t]*[=:][ \t]*["']?""")
+_VALUE_END = re.compile(r"""[\s"'<>,;]|$(?![\s\S])""")
+_WORTH = re.compile(r"[0-9]|[=:][ \t]*[\"']?\S|[A-Za-z+/_\-]{16}|-----BEGIN ")
 # what ends a named value: the next name=value pair, in a URL also its delimiters
 _NEXT_PAIR = re.compile(r"&(?=[\w.\-]+=)")
 _URL_PART = re.compile(r"[&#;@]")
+_AUTHORITY_END = re.compile(r"[/?#]")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?)-----")
+_UUID = re.compile(r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}")
+# words with numbers and marks between them: build_2024_final_v3, chapter12intro
+_IDENTIFIER = re.compile(r"(?:[_\-./:]?(?:[A-Za-z]++|[0-9]{1,4}+(?![0-9])))++")
 _USER_INFO = re.compile(r"""://([^\s/?#:@"'<>]*)(?::([^\s/?#"'<>]+))?@(?=[\w\[])""")
 _MAIL = re.compile(r"[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)*\.[A-Za-z]{2,}")
 # published key formats
 _FORMATS = re.compile(r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk_live_[A-Za-z0-9]{16,}|"
-                      r"xox[abpr]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10,}")
+                      r"xox[abpr]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10,}|"
+                      r"github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20,}|sk-proj-[A-Za-z0-9_-]{20,}|sk-ant-[A-Za-z0-9_-]{20,}|"
+                      r"npm_[A-Za-z0-9]{36}|hf_[A-Za-z0-9]{30,}|dop_v1_[a-f0-9]{64}|SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}")
 _FORMATTED = re.compile(rf"(?<![A-Za-z0-9])(?:{_FORMATS.pattern})(?![A-Za-z0-9])")
 _PLACEHOLDER = re.compile(r"(?i)example|sample|dummy|changeme|placeholder|your|x{4,}|12345678|abcdef12|(.)\1{5,}")
 _WORDS = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[A-Za-z][a-z]{2,}(?:[A-Z][a-z]{2,})+)(?:[\-/_]+(?:[A-Z]?[a-z]+|[A-Z]+))*")
 _CONSONANTS = re.compile(r"(?i)[bcdfghj-np-tvwxz]{6}")
+_HARD = re.compile(r"(?i)[bcdfghj-np-tvwxz]{5}")
 _NO_PASSWORD = re.compile(rf"(?i)(?:{_NAMES}|pass|pw|user(?:name)?|x-oauth-basic|x-access-token|oauth2?|[$%{{\[(].*|\*+|\.+)")
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 FEATURES = ("length", "changes", "digits", "uppers", "entropy", "likelihood", "coverage", "hex", "path", "address",
-            "named", "near", "quoted", "word_before", "word_after")
-_FINDING = "array<struct<start:int,n_chars:int,digest:string,label:int,x:array<float>>>"
+            "named", "near", "quoted", "word_before", "word_after", "uuid", "readable")
+_FINDING = "array<struct<start:int,n_chars:int,digest:string,label:int,certain:boolean,x:array<float>>>"
 _WINDOW = 40  # characters beside a candidate that are looked at
-_URL_CHARS = 2000  # longest part of a URL before a candidate
 _BARE, _BITS = 16, 3.5  # least characters and entropy a character of a bare token without a digit
 
 
@@ -103,11 +115,38 @@ def mixed(s: str) -> bool:
     return len(s) >= _BARE and bool(re.search(r"[a-z][A-Z]", s)) and entropy(s) >= _BITS
 
 
-def spans(text: str) -> list[tuple[int, int]]:
-    """Candidate spans in text order; none overlap. User-info of URLs goes before
-    named values, these before tokens of key formats, and these before bare tokens."""
+class Urls:
+    """The URLs of a text: for each "://" where its stretch without white space and
+    its host part end. A text is gone through once."""
+
+    def __init__(self, text: str):
+        self.starts, self.ends, self.hosts = [], [], []
+        if "://" not in text:
+            return
+        for run in re.finditer(r"\S+", text):
+            at = text.find("://", run.start(), run.end())
+            while at >= 0:
+                beyond = text.find("://", at + 3, run.end())
+                # a host part ends before the next "://", whose slash ends it at the latest
+                stop = _AUTHORITY_END.search(text, at + 3, run.end() if beyond < 0 else beyond + 2)
+                self.starts.append(at)
+                self.ends.append(run.end())
+                self.hosts.append(stop.start() if stop else run.end())
+                at = beyond
+
+    def over(self, a: int) -> int:
+        """Number of the last "://" that ends before place ``a`` in its stretch; -1 if none."""
+        i = bisect_left(self.starts, a - 2) - 1
+        return i if i >= 0 and a <= self.ends[i] else -1
+
+
+def spans(text: str, urls: Urls | None = None) -> list[tuple[int, int]]:
+    """Candidate spans in text order; none overlap. Private key blocks go first, then
+    user-info of URLs before named values, these before tokens of key formats, and
+    these before bare tokens."""
     if not _WORTH.search(text):
         return []
+    urls = urls or Urls(text)
     taken: list[tuple[int, int]] = []
 
     def take(found) -> None:
@@ -121,11 +160,13 @@ def spans(text: str) -> list[tuple[int, int]]:
                 end = b
         taken = sorted(old + new)
 
-    if "://" in text:
+    if "-----BEGIN " in text:
+        take(_key_blocks(text))
+    if urls.starts:
         take(m.span(g) for m in _USER_INFO.finditer(text) for g in (1, 2)
              if g == 2 and m[2] or g == 1 and len(m[1]) >= 12 and (re.search(r"[0-9]", m[1]) or mixed(m[1])))
     if "=" in text or ":" in text:
-        take(_named_values(text))
+        take(_named_values(text, urls))
     take(m.span() for m in _FORMATTED.finditer(text))
     bare = []
     for m in _CANDIDATE.finditer(text):
@@ -140,50 +181,65 @@ def spans(text: str) -> list[tuple[int, int]]:
     return taken
 
 
-def _named_values(text: str):
+def _key_blocks(text: str):
+    """From the header to the footer of private keys; one without a footer ends with
+    its last line of key characters."""
     at = 0
-    while m := _ASSIGNED.search(text, at):
-        a, b = m.span(1)
-        if "://" in m[1]:  # the value is a URL, whose parts are looked at
-            at = a
+    while m := _PEM.search(text, at):
+        foot = f"-----END {m[1]}-----"
+        body = re.compile(r"[A-Za-z0-9+/=\s:,.\-]*").match(text, m.end()).end()
+        end = text.find(foot, m.end(), body + len(foot))
+        at = end + len(foot) if end >= 0 else max(m.end(), m.end() + len(text[m.end():body].rstrip()))
+        yield m.start(), at
+
+
+def _named_values(text: str, urls: Urls):
+    at = end = 0
+    while m := _GIVEN.search(text, at):
+        a = m.end()
+        if a >= end:  # the stretch is searched to its end once
+            end = _VALUE_END.search(text, a).start()
+        here = urls.over(min(end, a + 1))
+        inner = text.find("://", a, min(end, a + 12))  # a scheme has few letters
+        if inner >= 0 and not _NEXT_PAIR.search(text, a, inner):
+            at = a  # the value is a URL, whose parts are looked at
             continue
-        ends = [x.start() for x in (_NEXT_PAIR.search(text, a, b), _url(text, a) >= 0 and _URL_PART.search(text, a, b)) if x]
-        b = min([b, *ends])
+        b = end
+        if here >= 0 and urls.starts[here] + 3 <= a:
+            part = _URL_PART.search(text, a, b)
+            b = part.start() if part else b
+        pair = _NEXT_PAIR.search(text, a, b)
+        b = pair.start() if pair else b
         if b - a >= 6:
             yield a, b
-        at = max(b, a + 1)
+        at = max(b, a)
 
 
-def _url(text: str, a: int) -> int:
-    """Where the host part of the URL that ``a`` stands in begins; -1 outside URLs."""
-    i = text.rfind("://", max(0, a - _URL_CHARS), a)
-    return i + 3 if i >= 0 and not re.search(r"\s", text[i:a]) else -1
-
-
-def place(text: str, a: int, b: int) -> str:
+def place(text: str, a: int, b: int, urls: Urls | None = None) -> str:
     """"user-info" or "named" for what stands where secrets are given, "address"
     for parts of URLs and mail addresses, else ""."""
+    urls = urls or Urls(text)
     s, before = text[a:b], text[max(0, a - _WINDOW):a]
-    host = _url(text, a)
-    if host >= 0 and not re.search(r"[/?#]", text[host:a]) and s[:1] != "/":
+    i = urls.over(a)
+    if i >= 0 and urls.hosts[i] >= a and s[:1] != "/":
         if text[b:b + 1] == "@":  # a password, or a user without one
             return "user-info"
-        if a == host and re.match(r":[^\s/?#]*@", text[b:b + _URL_CHARS]):
+        if a == urls.starts[i] + 3 and text[b:b + 1] == ":" and text.find("@", b, urls.hosts[i]) >= 0:
             return ""  # a user with a password
     if _NAMED.search(before):
         return "named"
     left, right = re.search(r"\S*$", before)[0], re.match(r"\S*", text[b:b + _WINDOW])[0]
-    return "address" if host >= 0 or "@" in left + right else ""
+    return "address" if i >= 0 or "@" in left + right else ""
 
 
-def features(text: str, a: int, b: int, language: Language) -> list[float]:
+def features(text: str, a: int, b: int, language: Language, urls: Urls | None = None) -> list[float]:
     s = text[a:b]
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "o" for c in s]
     n = len(s)
     before, after = text[max(0, a - _WINDOW):a], text[b:b + _WINDOW]
     left = re.search(r"\S*$", before)[0]
     right = re.match(r"\S*", after)[0]
-    where = place(text, a, b)
+    where = place(text, a, b, urls)
     given = where in ("user-info", "named")
     near = re.findall(r"[^\W\d_]+", before.lower())[-1:] + [""]
     beyond = re.findall(r"[^\W\d_]+", after.lower())[:1] + [""]
@@ -192,17 +248,37 @@ def features(text: str, a: int, b: int, language: Language) -> list[float]:
             float(bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s))), float("/" in left + right or "\\" in left + right),
             float(not given and not _FORMATS.fullmatch(s) and (where == "address" or "." in left[-1:] or "www." in left)),
             float(given), float(bool(_NEAR.search(before))), float(before[-1:] in "\"'`" and before != ""),
-            float(near[0] in language.words), float(beyond[0] in language.words)]
+            float(near[0] in language.words), float(beyond[0] in language.words),
+            float(bool(_UUID.fullmatch(s))), float(readable(s))]
+
+
+def readable(s: str) -> bool:
+    """An identifier of words: all letter runs but one are long, with vowels and few
+    consonants in a row, and its numbers are short. Hex digits alone are none."""
+    if not _IDENTIFIER.fullmatch(s) or re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s):
+        return False
+    runs = re.findall(r"[A-Z]?[a-z]+|[A-Z]+", s)
+    long = [r for r in runs if len(r) >= 3]
+    return bool(long) and len(runs) - len(long) <= 1 and all(re.search(r"(?i)[aeiouy]", r) and not _HARD.search(r) for r in long)
+
+
+def certain(text: str, a: int, b: int) -> bool:
+    """A private key block, or a whole token of a published format, no placeholder."""
+    s = text[a:b]
+    return s.startswith("-----BEGIN ") or bool(_FORMATS.fullmatch(s)) and not _PLACEHOLDER.search(s)
 
 
-def known_label(text: str, a: int, b: int) -> int | None:
-    """1 or 0 where the finding's nature is known from its format or place."""
+def known_label(text: str, a: int, b: int, urls: Urls | None = None) -> int | None:
+    """1 or 0 where the finding's nature is known from its format, or from its place
+    and look together."""
+    if certain(text, a, b):
+        return 1
     s = text[a:b]
-    where = place(text, a, b)
+    where = place(text, a, b, urls)
     if _PLACEHOLDER.search(s) or where != "user-info" and re.fullmatch(r"[\d\-+/ ]+", s):
         return 0
-    if _FORMATS.fullmatch(s):
-        return 1
+    if _UUID.fullmatch(s) or where != "user-info" and readable(s):
+        return 0
     odd = re.search(r"\d", s) and re.search(r"[A-Za-z]", s) and len(set(s)) >= 6 or mixed(s)
     if where == "user-info":
         if _NO_PASSWORD.fullmatch(s):
@@ -212,8 +288,10 @@ def known_label(text: str, a: int, b: int) -> int | None:
         return 1 if odd and not _MAIL.fullmatch(s) else None
     if where == "address":
         return 0
-    # words and joined words are none, other bare tokens are left to the forest
-    return 0 if _WORDS.fullmatch(s) and not _CONSONANTS.search(s) else None
+    # words and joined words are none, long compounds of one case neither; other bare
+    # tokens are left to the forest
+    compound = re.fullmatch(r"[A-Z]?[a-z]+", s) and 4 * len(re.findall(r"[aeiouy]", s.lower())) >= len(s)
+    return 0 if compound or _WORDS.fullmatch(s) and not _CONSONANTS.search(s) else None
 
 
 class Forest:
@@ -291,17 +369,18 @@ def learn_language(docs: DataFrame) -> Language:
 
 
 def candidates(docs: DataFrame, language: Language) -> DataFrame:
-    """documents -> doc_id, start, n_chars, digest, label, x: every candidate of
-    every whole text, with its features, and its label where that is known.
+    """documents -> doc_id, start, n_chars, digest, label, certain, x: every candidate
+    of every whole text, with its features, and its label where that is known.
     Positions are code points from 0; digest is the SHA-256 of the candidate."""
     @arrow_udf(_FINDING)
     def found(texts: pa.Array) -> pa.Array:
         out = []
         for text in texts.to_pylist():
-            out.append([{"start": a, "n_chars": b - a, "digest": hashlib.sha256(text[a:b].encode()).hexdigest(),
-                         "label": known_label(text, a, b), "x": features(text, a, b, language)} for a, b in spans(text or "")])
+            urls = Urls(text or "")
+            out.append([{"start": a, "n_chars": b - a, "digest": hashlib.sha256(text[a:b].encode()).hexdigest(), "label": known_label(text, a, b, urls),
+                         "certain": certain(text, a, b), "x": features(text, a, b, language, urls)} for a, b in spans(text or "", urls)])
         kind = pa.list_(pa.struct([("start", pa.int32()), ("n_chars", pa.int32()), ("digest", pa.string()), ("label", pa.int32()),
-                                   ("x", pa.list_(pa.float32()))]))
+                                   ("certain", pa.bool_()), ("x", pa.list_(pa.float32()))]))
         return pa.array(out, kind)
     return docs.select("doc_id", F.explode(found(F.col("text").cast("string"))).alias("f")).select("doc_id", "f.*")
 
@@ -327,36 +406,41 @@ def score_column(x: Column, forest: Forest) -> Column:
 def scan_secrets(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """documents -> doc_id, start, n_chars, digest, score, is_secret: one row per
     candidate finding, false positives marked by ``is_secret`` false; ``score`` is
-    the forest's, and findings known to be secrets are so at any score.
+    the forest's; whole tokens of a published format and private key blocks are secrets
+    at any score.
 
     Null and empty texts have no findings. Repeated rows give their findings
     again. Without labelled findings of both classes every finding gets the one
     class there is, or 0. An empty table gives an empty table."""
     found = materialize(candidates(docs, learn_language(docs)), "secret-findings")
     forest = train(found)
-    known = F.coalesce(F.col("label") == 1, F.lit(False))
-    return (found.select("doc_id", "start", "n_chars", "digest", score_column(F.col("x"), forest).alias("score"), known.alias("known"))
-            .select("doc_id", "start", "n_chars", "digest", "score", (F.col("known") | (F.col("score") >= threshold)).alias("is_secret")))
+    return (found.select("doc_id", "start", "n_chars", "digest", score_column(F.col("x"), forest).alias("score"), "certain")
+            .select("doc_id", "start", "n_chars", "digest", "score", (F.col("certain") | (F.col("score") >= threshold)).alias("is_secret")))
 
 
 def mask_secrets(docs: DataFrame, threshold: float = THRESHOLD, mask: str = MASK) -> DataFrame:
     """All rows of ``docs`` with the secrets in ``text`` replaced by ``mask``;
     ``n_chars``, where there is such a column, follows the new text. Other columns
-    and texts without a secret are unchanged, null texts stay null."""
+    and texts without a secret are unchanged, null texts stay null, repeated rows are
+    masked each, an empty table stays empty."""
     language = learn_language(docs)
     labelled = materialize(candidates(docs, language).where("label is not null").select("digest", "label", "x"), "secret-labelled")
     forest = train(labelled)
 
     @arrow_udf("string")
     def masked(texts: pa.Array) -> pa.Array:
-        given = texts.to_pylist()
-        whole = list(given)
-        places = [(i, a, b) for i, t in enumerate(whole) for a, b in spans(t or "")]
+        whole = texts.to_pylist()
+        urls = [Urls(t or "") for t in whole]
+        places = [(i, a, b) for i, t in enumerate(whole) for a, b in spans(t or "", urls[i])]
         if places:
-            scores = forest.score(np.array([features(whole[i], a, b, language) for i, a, b in places], np.float32))
-            for (i, a, b), s in reversed(list(zip(places, scores))):
-                if s >= threshold or known_label(given[i], a, b) == 1:
-                    whole[i] = whole[i][:a] + mask + whole[i][b:]
+            scores = forest.score(np.array([features(whole[i], a, b, language, urls[i]) for i, a, b in places], np.float32))
+            cuts: dict[int, list[tuple[int, int]]] = {}
+            for (i, a, b), score in zip(places, scores):
+                if score >= threshold or certain(whole[i], a, b):
+                    cuts.setdefault(i, []).append((a, b))
+            for i, found in cuts.items():  # a text is put together once
+                t, ends = whole[i], [0, *(b for _, b in found)]
+                whole[i] = mask.join(t[x:y] for x, y in zip(ends, [*(a for a, _ in found), len(t)]))
         return pa.array(whole, pa.string())
 
     rows = docs.select(packed(docs).alias("row"), masked(F.col("text").cast("string")).alias("masked"))

@@ -12,6 +12,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ WORD, TAG = 2.0, -0.2  # weights of a word or tag in elements that the labelled
 LEFT_OUT, LINK = "-", "a"  # keys of the words in left-out elements (with the tag of the outermost) and in links
 LEAST_SHARE = 0.5  # of a page's words in its marked element for the page to be a label
 
+WRAPPER_SHARE = 0.9  # of a page's words in an element that is then not left out for its attributes
+
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
@@ -42,6 +45,9 @@ _OUT_WORDS = frozenset("ad ads adbox advert adverts advertisement advertising ad
                        "consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices "
                        "outbrain overlay pager pagination popup promo promotion recommended related replies respond search share sharing "
                        "sidebar signup skip social sponsor sponsored subscribe subscription taboola teaser toolbar topbar widget widgets".split())
+_BOX_WORDS = frozenset("area articles bar block blocks bottom box button buttons col column container content desktop fixed form global group header "
+                       "icons inner item items js left line link links list main mobile outer panel posts primary right row secondary section "
+                       "site slot sticky top unit wrap wrapper".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CLOSED_BY = {"p": frozenset("p address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol "
                              "pre section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]),
@@ -55,57 +61,111 @@ def _left_out(name: str, attributes: str) -> tuple[bool, bool, bool]:
     by_tag, hard = name in _OUT_TAGS, name in _HARD
     if not attributes or name in ("html", "body"):
         return by_tag, False, hard
-    words, by_attribute = [], False
+    words: set[str] = set()
+    by_attribute = False
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id"):
-            words += re.split(r"[^a-z0-9]+", value)
+            words.update(*(_named_for(token) for token in value.split()))
         elif key == "role" and value in _OUT_ROLES or key == "hidden" or key == "aria-hidden" and value == "true" \
                 or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             by_attribute = True
     if name in ("article", "main"):  # a wide element named after its parts; a reader's comment is an article, too
-        return False, by_attribute or bool({"comment", "teaser", "related", "ad", "promo"} & set(words)), False
-    by_attribute = by_attribute or bool(_OUT_WORDS & set(words)) or name not in _HEADINGS and "header" in words
-    return by_tag, by_attribute, hard or bool(_HARD_WORDS & set(words))
+        return False, by_attribute or bool({"comment", "teaser", "related", "ad", "promo"} & words), False
+    by_attribute = by_attribute or bool(_OUT_WORDS & words) or name not in _HEADINGS and "header" in words
+    return by_tag, by_attribute, hard or bool(_HARD_WORDS & words)
+
+
+def _named_for(token: str) -> set[str]:
+    """The words a class token or id stands for: its parts, if each is such a word or
+    says only where or in what box it stands. has-sidebar or related-work name
+    something else."""
+    parts = [x for x in re.split(r"[^a-z0-9]+", token) if x and not x.isdigit()]
+    return set(parts) if all(x in _OUT_WORDS or x in _BOX_WORDS for x in parts) else set()
+
+
+class _Open(NamedTuple):
+    """An open element, with what holds for text in it."""
+    name: str
+    out: bool  # left out
+    container: int  # 2 in an article, 1 in a main element, else 0
+    hard: bool  # articles inside are no main text either
+    block: str  # name and place of the nearest element that is not inline
+    block_at: int
+    link: bool
+    header: int  # 1 in a header, 2 in a heading of a header
+    outermost: str  # name of the outermost element that is left out
+    by_tag: bool  # left out whatever the attributes say
+    number: int  # of an element left out by its attributes, else -1
+    words: int  # of the page before it
+
+
+_NOTHING = _Open("", False, 0, False, "", -1, False, 0, "", False, -1, 0)
 
 
 class Page:
     """The sequence of one page. ``items``: (kind, key, text, number of words,
     left out, container): kind "w" for text and "t" for a tag; container is 2 in
     an article, 1 in a main element, else 0. ``marked`` counts the outermost
-    elements of these kinds that are not left out."""
+    elements of these kinds that are not left out.
+
+    An element that would be left out for its attributes but holds nearly all of the page's
+    words is a wrapper of the page and stays, unless it is named for comments or teasers. Each open element carries what its text
+    needs, so the time is in proportion to the page however deep its elements stand.
+    """
 
     def __init__(self, source: str, use_attributes: bool = True):
-        self.items: list[tuple] = []
-        self.marked: Counter = Counter()
-        stack: list[tuple[str, bool, int, bool]] = []  # tag, left out, container, articles inside are none
-        at = 0
+        wrappers: frozenset[int] = frozenset()
+        for _ in range(2):
+            self.items: list[tuple] = []
+            self.marked: Counter = Counter()
+            found = self._read(source, use_attributes, wrappers)
+            if not found:
+                break
+            wrappers = found
+
+    def _read(self, source: str, use_attributes: bool, wrappers: frozenset[int]) -> frozenset[int]:
+        """Fills ``items``; the numbers of the elements that turn out to be wrappers,
+        none if ``wrappers`` are given."""
+        stack, opened = [_NOTHING], Counter()
+        inside: list[int] = []
+        self._words, at = 0, 0
+
+        def close(i: int) -> None:
+            for x in stack[i:]:
+                opened[x.name] -= 1
+                if x.number >= 0:
+                    inside[x.number] = self._words - x.words
+            del stack[i:]
+
         for m in _markup(source):
             if m.start() > at:
-                self._text(source[at:m.start()], stack)
+                self._text(source[at:m.start()], stack[-1])
             at = m.end()
             name = (m[2] or m[5] or "").lower()
             if not name:
                 continue
             if m[1] or m[4]:  # end tag
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
-                        break
+                if opened[name]:
+                    close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name))
                 if name not in _INLINE:
                     self.items.append(("t", None, "", 0, False, 0))
                 continue
             if name in _VOID or name in _RAW:
                 if name not in _INLINE:
-                    self.items.append(("t", name, "", 0, False, stack[-1][2] if stack else 0))
+                    self.items.append(("t", name, "", 0, False, stack[-1].container))
                 continue
-            while stack and name in _CLOSED_BY.get(self._block(stack), ()):
-                i = max(i for i, x in enumerate(stack) if x[0] == self._block(stack))
-                del stack[i:]
-            out, container, hard = stack[-1][1:] if stack else (False, 0, False)
+            while name in _CLOSED_BY.get(stack[-1].block, ()):
+                close(stack[-1].block_at)
+            up = stack[-1]
             by_tag, by_attribute, by_hard = _left_out(name, m[3] or m[6] or "")
+            number = -1
+            if by_attribute and use_attributes and not by_tag and not by_hard:
+                number = len(inside)
+                inside.append(0)
+                by_attribute = number not in wrappers
             mine = by_tag or use_attributes and by_attribute
-            hard = hard or mine and by_hard
+            out, container, hard = up.out, up.container, up.hard or mine and by_hard
             if name in ("article", "main"):
                 if out and not mine and not hard and not container:
                     out = False  # an element left open before the article, or one round the whole page
@@ -114,27 +174,25 @@ class Page:
                 container = max(container, kind)
             if name == "header":
                 mine = mine or not container
-            stack.append((name, out or mine, container, hard))
-            if name not in _INLINE:
+            inline = name in _INLINE
+            header = 2 if up.header and name in _HEADINGS else up.header or int(name == "header")
+            stack.append(_Open(name, out or mine, container, hard, up.block if inline else name, up.block_at if inline else len(stack), up.link or name == LINK,
+                               header, up.outermost or (name if out or mine else ""), up.by_tag or by_tag, number, self._words))
+            opened[name] += 1
+            if not inline:
                 self.items.append(("t", name, "", 0, out or mine, container))
         if at < len(source):
-            self._text(source[at:], stack)
-
-    @staticmethod
-    def _block(stack) -> str:
-        return next((x[0] for x in reversed(stack) if x[0] not in _INLINE), "")
+            self._text(source[at:], stack[-1])
+        close(1)
+        return frozenset() if wrappers else frozenset(i for i, n in enumerate(inside) if n and n >= WRAPPER_SHARE * self._words)
 
-    def _text(self, raw: str, stack) -> None:
+    def _text(self, raw: str, here: _Open) -> None:
         text = html.unescape(raw) if "&" in raw else raw
-        _, out, container, _ = stack[-1] if stack else ("", False, 0, False)
-        names = [x[0] for x in stack]
-        if "header" in names and not _HEADINGS & set(names[names.index("header"):]):
-            out = True  # of an article's header only the headings stay
-        if out:
-            key = LEFT_OUT + next((x[0] for x in stack if x[1]), "header")
-        else:
-            key = LINK if LINK in names else self._block(stack)
-        self.items.append(("w", key, text, len(text.split()), out, container))
+        out, n = here.out or here.header == 1, len(text.split())  # of an article's header only the headings stay
+        key = LEFT_OUT + (here.outermost or "header") if out else LINK if here.link else here.block
+        self.items.append(("w", key, text, n, out, here.container))
+        if not here.by_tag:
+            self._words += n
 
     def label(self) -> int:
         """The kind of marked element that says where the main text is: the only

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -70,6 +71,35 @@ def test_pages_with_a_minor_article_or_several_are_no_labels():
     assert htmltext.Page(PAGES[0][0]).label() == 2
 
 
+LEARNED = [f"<html><body><nav><a href=/>menu {i}</a></nav><article><h1>Title {i}</h1><p>{'some words of the article ' * 5}</p></article>"
+           f"<footer>Copyright {i}</footer></body></html>" for i in range(40)]
+ARTICLE = "the article has a good many words of its own " * 12
+
+
+@pytest.mark.parametrize("source, want, absent", [
+    (f'<div class="layout has-sidebar"><div class="content"><p>{ARTICLE}</p></div><div class="sidebar"><p>side words</p></div></div>', ARTICLE, "side"),
+    (f'<div id="share-price-report"><p>{ARTICLE}</p></div><div class="share-buttons"><p>Share me</p></div>', ARTICLE, "Share"),
+    (f'<div class="page search-enabled"><p>{ARTICLE}</p></div><div class="search"><p>find it</p></div>', ARTICLE, "find"),
+    (f'<div><p>{ARTICLE}</p><section class="related-work"><p>we build on this</p></section><div class="related-posts"><p>More to read</p></div></div>',
+     ARTICLE + "we build on this", "More"),
+    (f'<div class="sponsored"><div class="ad-slot"><p>buy this</p></div><p>{ARTICLE}</p></div>', ARTICLE, "buy")])
+def test_wrappers_named_after_their_parts_keep_their_article(source, want, absent):
+    text = htmltext.main_text(source, *htmltext.learn_weights(LEARNED))
+    assert " ".join(want.split()) in text and absent not in text
+
+
+@pytest.mark.parametrize("part", ["<b>x y ", "<div>x y ", "<div class=ad>x y ", "<p>x y ", "</i>x ", '<b ">x', "<a href='x>y ", "<article>x ", "<header>x "])
+def test_page_time_is_in_proportion(part):
+    weights = htmltext.learn_weights(LEARNED)
+
+    def took(n):
+        began = time.process_time()
+        htmltext.main_text(part * (n // len(part)), *weights)
+        return time.process_time() - began
+    took(2_000)
+    assert took(320_000) < 24 * max(took(40_000), 0.01)
+
+
 def test_best_region_matches_brute_force():
     rng = random.Random(1)
     for _ in range(200):

@@ -16,22 +16,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from ..session import materialize
 from .common import fold, one_label_per_id, spread_by_hash
 
 SAMPLE_TEXTS = 2500  # most texts of a class for its dictionary, and for the calibration
-SAMPLE_CHARS = 20_000  # longer texts are scored in full but not learned from
 PIECE_BYTES = 2000  # dictionary samples
-PIECES = 6000  # most samples for a dictionary
+PIECES = 6000  # most samples for a dictionary, from anywhere in the texts
 DICT_BYTES = 512 << 10
+BLOCK_BYTES = 8 << 10  # compressed at a time
 LEVEL = 3
 THRESHOLD = 0.7
 FOLDS, HELD_FOLD = 4, 2
 
 
-def dictionary(texts: list[str], size: int = DICT_BYTES) -> bytes:
-    """Content of a zstandard dictionary trained on the texts' pieces; the plain
-    bytes where they are too few to train on."""
-    pieces = [r[at:at + PIECE_BYTES] for r in (t.encode() for t in texts) for at in range(0, len(r), PIECE_BYTES)][:PIECES]
+def dictionary(pieces: list[bytes], size: int = DICT_BYTES) -> bytes:
+    """Content of a zstandard dictionary trained on the pieces; the plain bytes where
+    they are too few to train on."""
     total = sum(map(len, pieces))
     try:
         return zstandard.train_dictionary(min(size, max(1024, total // 4)), pieces).as_bytes()
@@ -54,10 +54,15 @@ class Sizes:
         return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
 
     def features(self, raw: bytes | None) -> tuple[float, float, float]:
-        """Size difference over plain size, plain ratio, log length."""
+        """Size difference over plain size, plain ratio, log length. A text is compressed
+        in blocks, so that its later parts meet the dictionaries, too, and not only the
+        text before them."""
         raw = raw or b""
-        plain = len(self.plain.compress(raw))
-        difference = len(self.bad.compress(raw)) - len(self.good.compress(raw))
+        plain = difference = 0
+        for at in range(0, max(1, len(raw)), BLOCK_BYTES):
+            part = raw[at:at + BLOCK_BYTES]
+            plain += len(self.plain.compress(part))
+            difference += len(self.bad.compress(part)) - len(self.good.compress(part))
         return difference / plain, plain / (len(raw) + 1), float(np.log1p(len(raw)))
 
 
@@ -79,32 +84,62 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float =
     return w[:-1] / spread, float(w[-1] - (w[:-1] * mean / spread).sum())
 
 
+def _sampled_pieces(texts: DataFrame) -> dict[int, list[bytes]]:
+    """texts(y, doc_id, h, text) -> for each y at most ``PIECES`` stretches of
+    ``PIECE_BYTES``, the first by a hash of text and place: of a long text as many as
+    of as much short text. Places are chosen before any text is cut."""
+    @arrow_udf("array<binary>")
+    def cut(whole: pa.Array, places: pa.Array) -> pa.Array:
+        out = []
+        for t, at in zip(whole.to_pylist(), places.to_pylist()):
+            raw = t.encode()
+            out.append([raw[p * PIECE_BYTES:(p + 1) * PIECE_BYTES] for p in at])
+        return pa.array(out, pa.list_(pa.binary()))
+
+    last = F.floor((F.octet_length("text") - 1) / PIECE_BYTES).cast("int")
+    places = texts.where("text <> ''").select("y", "doc_id", "h", F.explode(F.sequence(F.lit(0), last)).alias("at")).distinct()
+    got: dict[int, list[bytes]] = {}
+    for y in (0, 1):
+        some = places.where(F.col("y") == y).orderBy(F.xxhash64("h", "at"), "doc_id", "at").limit(PIECES)
+        lists = some.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list("at")).alias("at"))
+        found = texts.where(F.col("y") == y).dropDuplicates(["doc_id", "h"]).join(lists, ["doc_id", "h"])
+        rows = found.select("doc_id", "h", cut("text", "at").alias("cut")).collect()
+        got[y] = [bytes(x) for r in sorted(rows, key=lambda r: (r.doc_id, r.h)) for x in r.cut]
+    return got
+
+
 def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = HELD_FOLD):
     """(good dictionary, bad dictionary, weights, bias) from rows of
     ``labels(doc_id, quality)`` outside the held-out fold. One of the remaining
     folds calibrates, the others build the dictionaries. All samples are the
-    first rows by a hash of the id, ``SAMPLE_TEXTS`` at most of each kind, with
-    at most ``SAMPLE_CHARS`` characters: that bounds what reaches the driver."""
+    first rows by a hash of the id, ``SAMPLE_TEXTS`` at most of each kind, of
+    any length. Only ``PIECES`` pieces of each kind and three numbers of each
+    calibrating text reach the driver."""
     calibrate = (held + 1) % folds
     known = one_label_per_id(labels, "quality", F.min).where(~fold(F.col("doc_id"), folds, held))
     known = known.withColumn("part", fold(F.col("doc_id"), folds, calibrate))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    texts = texts.where(F.length("text") <= SAMPLE_CHARS)
-    kinds = [(part, label) for part in (False, True) for label in (0, 1)]
     chosen = None
-    for part, label in kinds:
+    for part, label in [(part, label) for part in (False, True) for label in (0, 1)]:
         some = (known.where((F.col("part") == part) & ((F.col("label") > 0) == bool(label)))
                 .orderBy(spread_by_hash(3), "doc_id").limit(SAMPLE_TEXTS)
                 .select("doc_id", F.lit(part).alias("part"), F.lit(label).alias("y")))
         chosen = some if chosen is None else chosen.unionAll(some)
-    got: dict = {k: [] for k in kinds}
-    for r in texts.join(chosen, "doc_id").orderBy(spread_by_hash(3), "text").limit(8 * SAMPLE_TEXTS).collect():
-        got[r.part, r.y].append(r.text)
+    chosen = materialize(chosen, "quality-sample")
+    rows = texts.join(chosen, "doc_id").withColumn("h", F.xxhash64("text"))
     share = known.agg(F.avg((F.col("label") > 0).cast("double")).alias("p")).first().p
-    good, bad = (dictionary(got[False, y]) if got[False, y] else b"" for y in (1, 0))
-    sizes = Sizes(good, bad)
-    x = np.array([sizes.features(t.encode()) for y in (0, 1) for t in got[True, y]]).reshape(-1, 3)
-    y = np.repeat([0.0, 1.0], [len(got[True, 0]), len(got[True, 1])])
+    pieces = _sampled_pieces(rows.where("not part"))
+    good, bad = (dictionary(pieces[y]) if pieces[y] else b"" for y in (1, 0))
+
+    @arrow_udf("array<double>")
+    def features(whole: pa.Array) -> pa.Array:
+        sizes = _sizes(good, bad)
+        return pa.array([sizes.features(r) for r in whole.cast(pa.binary()).to_pylist()], pa.list_(pa.float64()))
+
+    measured = rows.where("part").select("y", "doc_id", "h", features("text").alias("x")).dropDuplicates(["y", "doc_id", "h"])
+    found = measured.orderBy(spread_by_hash(3), "doc_id", "h").limit(8 * SAMPLE_TEXTS).collect()
+    x = np.array([r.x for r in found]).reshape(-1, 3)
+    y = np.array([float(r.y) for r in found])
     weights, bias = fit_logistic(x, y)
     if share and 0 < share < 1 and len(y) and 0 < y.mean() < 1:  # the sample is balanced, the corpus is not
         bias += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))

@@ -15,11 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from ..session import materialize
 from .common import fold, one_label_per_id, spread_by_hash
 
 SAMPLE_POSITIVE = 2500  # most confirmed toxic texts that are fitted on
 SAMPLE_UNLABELLED = 7500  # most unlabelled texts that are fitted on
-SAMPLE_CHARS = 20_000  # longer texts are scored in full but not fitted on
 PREFIXES = (4, 5, 6)  # word beginnings, for inflected forms
 MIN_POSITIVES = 4  # texts that must have a feature, and
 MIN_SHARE = 0.01  # of the positives
@@ -39,7 +39,10 @@ def word_features(word: str) -> list[str]:
     return [w] + ["^" + w[:k] for k in PREFIXES if len(w) > k] if len(w) > 2 else []
 
 
-def text_features(text: str | None) -> set[str]:
+def text_features(text: str | set | list | None) -> set[str]:
+    """The features of a text; a collection holds them already."""
+    if text is not None and not isinstance(text, str):
+        return set(text)
     return {f for w in set((text or "").lower().split()) for f in word_features(w)}
 
 
@@ -88,23 +91,54 @@ def fit_nnpu(positive: list, unlabelled: list, prior: float, features=text_featu
     return {f: x for f, x in zip(names, w[:-1].tolist()) if x}, float(w[-1])
 
 
+def _common_features(sample: DataFrame) -> set[str]:
+    """sample(y, f) -> at most ``MAX_FEATURES`` features that :func:`select_features`
+    can choose, counted by Spark."""
+    sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_p, n_u = max(1, sizes.get(1, 0)), max(1, sizes.get(0, 0))
+    counts = sample.select("y", F.explode("f").alias("f")).groupBy("f").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("u"))
+    lift = (F.col("p") / n_p) / ((F.col("u") + 1) / n_u)
+    often = counts.where(F.col("p") >= max(MIN_POSITIVES, MIN_SHARE * n_p)).where(lift >= MIN_LIFT)
+    return {r.f for r in often.orderBy(F.desc(F.col("p") * F.log(lift)), "f").select("f").limit(MAX_FEATURES).collect()}
+
+
 def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = HELD_FOLD) -> tuple[dict[str, float], float]:
     """The model from the rows of ``labels(doc_id, toxic)`` outside the held-out
     fold. The class prior is the share of toxic among these rows. Both samples
-    are the first rows by a hash of the id, at most ``SAMPLE_POSITIVE`` and
-    ``SAMPLE_UNLABELLED`` texts of at most ``SAMPLE_CHARS`` characters; that
-    bounds what reaches the driver, whatever the tables' size."""
+    are the first ids by a hash, at most ``SAMPLE_POSITIVE`` and
+    ``SAMPLE_UNLABELLED``, with texts of any length; of repeated ids up to twice as
+    many texts count, equal texts once. Features are found and counted in tasks; the
+    driver gets those of each text that the model may use."""
     known = one_label_per_id(labels, "toxic", F.max).where(~fold(F.col("doc_id"), folds, held))
     got = known.agg(F.avg((F.col("label") > 0).cast("double")).alias("prior")).first()
     prior = min(0.9, max(0.001, got.prior or 0.001))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    texts = texts.where(F.length("text") <= SAMPLE_CHARS)
-    toxic = known.where("label > 0").orderBy(spread_by_hash(1), "doc_id").limit(SAMPLE_POSITIVE)
-    positive = texts.join(toxic, "doc_id", "left_semi").select("text").distinct().limit(2 * SAMPLE_POSITIVE)
+    toxic = known.where("label > 0").orderBy(spread_by_hash(1), "doc_id").limit(SAMPLE_POSITIVE).select("doc_id")
     ids = docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~fold(F.col("doc_id"), folds, held))
     some = ids.distinct().orderBy(spread_by_hash(2), "doc_id").limit(SAMPLE_UNLABELLED)
-    unlabelled = texts.join(some, "doc_id", "left_semi").select("text").limit(2 * SAMPLE_UNLABELLED)
-    return fit_nnpu([r.text for r in positive.collect()], [r.text for r in unlabelled.collect()], prior)
+
+    @arrow_udf("array<string>")
+    def found(whole: pa.Array) -> pa.Array:
+        return pa.array([sorted(text_features(t)) for t in whole.to_pylist()], pa.list_(pa.string()))
+
+    def sampled(wanted: DataFrame, y: int) -> DataFrame:
+        rows = texts.join(wanted, "doc_id", "left_semi").withColumn("h", F.xxhash64("text"))
+        # equal positives are one text, whatever their ids
+        keys = rows.groupBy("h").agg(F.min("doc_id").alias("doc_id")) if y else rows.select("h", "doc_id").distinct()
+        most = 2 * (SAMPLE_POSITIVE if y else SAMPLE_UNLABELLED)
+        keys = keys.orderBy(spread_by_hash(1), "doc_id", "h").limit(most)
+        return (rows.join(keys, ["doc_id", "h"], "left_semi").select(F.lit(y).alias("y"), "doc_id", "h", found("text").alias("f"))
+                .dropDuplicates(["doc_id", "h"]))
+    sample = materialize(sampled(toxic, 1).unionAll(sampled(some, 0)), "toxicity-sample")
+    names = _common_features(sample)
+
+    @arrow_udf("array<string>")
+    def used(rows: pa.Array) -> pa.Array:
+        return pa.array([[f for f in r if f in names] for r in rows.to_pylist()], pa.list_(pa.string()))
+
+    rows = sample.select("y", "doc_id", "h", used("f").alias("f")).collect()
+    rows.sort(key=lambda r: (r.doc_id, r.h))
+    return fit_nnpu([r.f for r in rows if r.y], [r.f for r in rows if not r.y], prior)
 
 
 def score_column(text: Column, weights: dict[str, float], bias: float) -> Column:

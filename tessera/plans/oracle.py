@@ -235,7 +235,10 @@ def sql() -> dict[str, str]:
     q["scan_category_tables"] = with_(G1) + (
         "SELECT l.cl_from, l.cl_to, l.cl_type, p.page_title AS from_title "
         "FROM g1_links l JOIN g1_page p ON p.page_id = l.cl_from")
-    q["load_artifacts"] = with_(L1, DICT, ENC) + f"SELECT doc_id, {_ints('codes')} AS codes FROM enc"
+    q["load_artifacts"] = with_(L1, DICT, ENC, TOKS, V1, W1) + (
+        f"SELECT 'train_data' AS artifact, CAST(doc_id AS VARCHAR) AS name, {_ints('codes')} AS codes, CAST(NULL AS DOUBLE) AS total FROM enc "
+        "UNION ALL SELECT 'category_codes', label, CAST(code AS VARCHAR), NULL FROM dict "
+        f"UNION ALL SELECT 'word_vectors', word, NULL, {rnd('list_sum(vector)')} FROM w1")
     # sinks
     q["write_id_list"] = with_(G1, WALK) + f"SELECT page_id AS id FROM ({DESCENT})"
     q["write_documents"] = "SELECT doc_id, text, lang, source, n_chars FROM documents"
@@ -251,8 +254,16 @@ def sql() -> dict[str, str]:
     q["doc_id_from_path"] = (f"SELECT doc_id, file_name, CAST(TRY_CAST(regexp_extract(file_name, "
                              f"{_q(P.ID_FROM_FILE_NAME)}, 1) AS BIGINT) AS VARCHAR) AS parsed_id FROM ({names})")
     q["path_from_doc_id"] = "SELECT doc_id, 'id_' || CAST(doc_id AS VARCHAR) || '.txt' AS file_name FROM documents"
-    q["get_doc_by_id"] = (f"SELECT doc_id, array_to_string(list_filter({tokens_of('text')}, "
-                          f"lambda w: NOT list_contains({STOP_LIST}, w)), ' ') AS words FROM documents WHERE doc_id = 42")
+    lemmas = _lemma_ctes()
+    q["get_doc_by_id"] = with_(
+        TOKS, "words AS (SELECT DISTINCT word FROM toks)", *lemmas,
+        f"own AS (SELECT * FROM toks WHERE doc_id = 42 AND NOT list_contains({STOP_LIST}, word))",
+    ) + ("SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS words, string_agg(coalesce(lemma, word), ' ' ORDER BY pos) AS lemmas "
+         "FROM own LEFT JOIN best USING (word) GROUP BY doc_id")
+    dims = f"CAST(dim AS BIGINT) AS dim, {rnd('x')} AS value FROM dv"
+    q["get_vector_by_id"] = with_(TOKS, V1, W1, DIMS, DOCVEC) + f"SELECT doc_id, {dims} WHERE doc_id = 42"
+    q["take_vector_page"] = with_(TOKS, V1, W1, DIMS, DOCVEC) + (
+        f"SELECT doc_id, {dims} WHERE doc_id IN (SELECT doc_id FROM documents WHERE doc_id > 100 ORDER BY doc_id LIMIT 50)")
     q["edge_kind_filter"] = with_(G1) + "SELECT cl_from, cl_to, cl_type FROM g1_links WHERE cl_type = 'page'"
     q["page_level_id"] = ("SELECT page_id AS id, url AS title FROM pages WHERE html IS NOT NULL AND url IS NOT NULL "
                           "AND page_id IN (SELECT doc_id FROM labels)")

@@ -25,6 +25,7 @@ from ..operators import pages as PG
 from ..operators import text as TX
 from ..operators import vectors as V
 from ..session import materialize, scratch_path
+from ..sinks import vector_store as VS
 from ..sinks import writers as W
 from ..sources import artifacts as SA
 from ..sources import category as SC
@@ -120,10 +121,19 @@ def scan_category_tables(spark, sf):
 
 
 def load_artifacts(spark, sf):
+    """All three artifacts, written and read back: label lists, codes and word vectors."""
     root = scratch_path(spark, "artifacts")
-    W.write_artifacts({"train_data": _encoded(spark, sf)}, root)
-    td = SA.load_artifact(spark, root, "train_data")
-    return td.select("doc_id", _ints("codes").alias("codes"))
+    W.write_artifacts({"train_data": _encoded(spark, sf), "category_codes": L.label_dictionary(FX.label_links(spark, sf)),
+                       "word_vectors": FX.word_vectors(spark, sf)}, root)
+    back = SA.load_artifacts(spark, root)
+    none = F.lit(None)
+    vsum = F.aggregate("vector", F.lit(0.0), lambda a, v: a + v)
+    return (back["train_data"].select(F.lit("train_data").alias("artifact"), F.col("doc_id").cast("string").alias("name"),
+                                      _ints("codes").alias("codes"), none.cast("double").alias("total"))
+            .unionByName(back["category_codes"].select(F.lit("category_codes").alias("artifact"), F.col("label").alias("name"),
+                                                       F.col("code").cast("string").alias("codes"), none.cast("double").alias("total")))
+            .unionByName(back["word_vectors"].select(F.lit("word_vectors").alias("artifact"), F.col("word").alias("name"),
+                                                     none.cast("string").alias("codes"), _r(vsum).alias("total"))))
 
 
 # ------------------------------------------------------------------ sinks ---
@@ -186,9 +196,34 @@ LOOKUP_DOC_ID = 42
 
 
 def get_doc_by_id(spark, sf):
+    """One document's words without stop words, as they are and as lemmas. Only its own
+    words meet the lexicon, which is the corpus's distinct words."""
     docs = PG.get_doc_by_id(_t(spark, sf, "documents"), LOOKUP_DOC_ID).select("doc_id", "text")
-    toks = TX.token_lists(docs, stop_words=P.ENGLISH_STOP_WORDS)
-    return toks.select("doc_id", F.array_join("tokens", " ").alias("words"))
+    own = materialize(TX.tokens_long(docs, stop_words=P.ENGLISH_STOP_WORDS), "own-tokens")
+    lemmas = TX.noun_lemma_map(own.select("word").distinct(), FX.document_tokens(spark, sf).select("word").distinct(), distinct=True)
+    both = own.join(lemmas, "word", "left")
+    ordered = both.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word", "lemma"))).alias("t"))
+    return ordered.select("doc_id", F.array_join(F.transform("t", lambda r: r["word"]), " ").alias("words"),
+                          F.array_join(F.transform("t", lambda r: F.coalesce(r["lemma"], r["word"])), " ").alias("lemmas"))
+
+
+def _stored_vectors(spark, sf):
+    path = scratch_path(spark, "vector-store")
+    VS.write_vectors(_doc_vectors(spark, sf), path)
+    return path
+
+
+def _dims(vectors):
+    return vectors.select("doc_id", F.posexplode("features").alias("dim", "value")).select(
+        "doc_id", F.col("dim").cast("long").alias("dim"), _r("value").alias("value"))
+
+
+def get_vector_by_id(spark, sf):
+    return _dims(VS.read_vector(spark, _stored_vectors(spark, sf), LOOKUP_DOC_ID))
+
+
+def take_vector_page(spark, sf):
+    return _dims(VS.read_page(spark, _stored_vectors(spark, sf), TAKE_AFTER, TAKE_N))
 
 
 def edge_kind_filter(spark, sf):
@@ -249,7 +284,8 @@ def encode_labels(spark, sf):
 
 
 def lookup_word_vectors(spark, sf):
-    tokens = FX.document_tokens(spark, sf)
+    # the tokens are stored: the vocabulary and the lookup read them, the texts are cut once
+    tokens = materialize(FX.document_tokens(spark, sf), "tokens")
     vocab = V.build_vocabulary(tokens)
     w1 = FX.word_vectors(spark, sf, vocab)
     known = V.lookup_word_vectors(tokens, w1)
@@ -574,7 +610,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "write_id_list": write_id_list, "write_documents": write_documents,
         "write_artifacts": write_artifacts, "write_metrics": write_metrics,
         "doc_id_from_path": doc_id_from_path, "path_from_doc_id": path_from_doc_id,
-        "get_doc_by_id": get_doc_by_id, "edge_kind_filter": edge_kind_filter,
+        "get_doc_by_id": get_doc_by_id, "get_vector_by_id": get_vector_by_id, "take_vector_page": take_vector_page, "edge_kind_filter": edge_kind_filter,
         "page_level_id": page_level_id, "drop_incomplete_pages": drop_incomplete_pages,
         "drop_blank_lines": drop_blank_lines, "remove_stopwords": remove_stopwords,
         "semi_join_ids": semi_join_ids, "resolve_titles": resolve_titles,

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
@@ -28,22 +29,26 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(spark, local_folder)
     return spark
 
 
+def local_folder() -> str:
+    """A new temporary folder, for sessions that run in one process."""
+    return tempfile.mkdtemp(prefix="tessera-ckpt-")
+
+
 def _is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
+def ensure_checkpoint_dir(spark: SparkSession, local_default: Callable[[], str] | None = None) -> str:
     """Return the shared checkpoint folder the cluster names.
 
     The setting is read from the session (``spark.checkpoint.dir`` or the
-    context's checkpoint dir). Only when it is unset *and* the session is
-    local (tests, benches) do we create our own folder; on a cluster a
-    machine-local folder would not be visible to other executors, so an
-    unset setting is an error there.
+    context's checkpoint dir). Unset is an error: on a cluster a machine-local
+    folder would not be visible to other executors. Only a local session may be
+    given a folder by its caller (tests, bench, tools) with ``local_default``.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -51,11 +56,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
-        if not _is_local(spark):
+        if local_default is None or not _is_local(spark):
             raise RuntimeError(
                 "spark.checkpoint.dir is not set; point it at a shared folder "
                 "(HDFS/S3/...) so lineage cuts survive executor loss")
-        conf_dir = tempfile.mkdtemp(prefix="tessera-ckpt-")
+        conf_dir = local_default()
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

@@ -156,3 +156,27 @@ def test_many_small_files_share_a_task(spark, tmpdir_path):
     W.write_documents(spark.range(300).selectExpr("id AS doc_id", "'t' AS title", "'x' AS text"), out, fmt="files")
     docs = SF.scan_documents(spark, out)
     assert docs.count() == 300 and docs.rdd.getNumPartitions() < 100
+
+
+def test_vector_store_reads_only_the_ranges_it_needs(spark, tmpdir_path):
+    from tessera.sinks import vector_store as VS
+    rows = [(i * 3, [float(i), 1.0]) for i in range(1000)]
+    df = spark.createDataFrame([*rows, (30, [9.0, 9.0]), (None, [0.0, 0.0])], "doc_id long, features array<double>")
+    VS.write_vectors(df, tmpdir_path, parts=8)
+    assert sorted(tuple(r["features"]) for r in VS.read_vector(spark, tmpdir_path, 30).collect()) == [(9.0, 9.0), (10.0, 1.0)]
+    assert VS.read_vector(spark, tmpdir_path, 31).count() == 0 and VS.read_vector(spark, tmpdir_path, 10**9).count() == 0
+    after, seen = None, []
+    while True:
+        page = [r["doc_id"] for r in VS.read_page(spark, tmpdir_path, after, 170).collect()]
+        if not page:
+            break
+        seen += page
+        after = page[-1]
+    assert seen == sorted([i * 3 for i in range(1000)] + [30])
+    point = VS.read_vector(spark, tmpdir_path, 1500)
+    page = VS.read_page(spark, tmpdir_path, 1500, 50)
+    for df in (point, page):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters" in plan and "PushedFilters: [IsNotNull(doc_id)" in plan
+    files = lambda d: {r[0] for r in d.select(F.input_file_name()).distinct().collect()}
+    assert len(files(point)) == 1 and len(files(VS.read_page(spark, tmpdir_path, 1500, 50).select("doc_id", "features"))) <= 2

@@ -25,7 +25,7 @@ MIN_POINTS = 7
 MIN_COUNT = 2
 DELETE_EVERY = 31
 FORM_RATIO = 10
-QMIN, QMAX = 2, 4
+QMIN, QMAX = 2, 3  # one edit changes few grams this short, so few lists are needed
 EXTEND_OVER = 20  # grams of more words than this are extended by a code point
 WORDS_PER_TASK = 25_000  # cut into grams by one task, a few seconds of work
 MAX_GRAMS = 100_000  # the dictionary is broadcast: the commonest grams, some megabytes at most
@@ -173,13 +173,16 @@ def near_words(words: DataFrame, qmin: int = QMIN, qmax: int = QMAX, extend_over
     cut = materialize(words.select("word").repartition(tasks, "word").mapInArrow(listed, "word string, short array<string>, long array<string>"),
                       "variants-lists")
 
-    def lists(of: str, name: str) -> DataFrame:
-        return cut.select(F.explode(of).alias("key"), F.col("word").alias(name)).select(F.xxhash64("key").alias("key"), name)
-    # both joins share the exchange of the lists of equal or shorter words
-    close = F.levenshtein("word", "other", 1) == 1
-    equal = lists("short", "word").join(lists("short", "other"), "key").where((F.col("word") < F.col("other")) & close)
-    longer = lists("short", "word").join(lists("long", "other"), "key").where(close)
-    return equal.select("word", "other").unionAll(longer.select("word", "other")).distinct()
+    def lists(of: str) -> DataFrame:
+        return cut.select(F.explode(of).alias("key"), "word").select(F.xxhash64("key").alias("key"), "word")
+
+    def met(other: DataFrame, more) -> DataFrame:
+        # equal plans on both sides, so the lists of equal or shorter words are shuffled once for all
+        pairs = lists("short").alias("a").join(other.alias("b"), F.col("a.key") == F.col("b.key"))
+        close = F.levenshtein(F.col("a.word"), F.col("b.word"), 1) == 1
+        return pairs.where(close & more).select(F.col("a.word").alias("word"), F.col("b.word").alias("other"))
+    equal = met(lists("short"), F.col("a.word") < F.col("b.word"))
+    return equal.unionAll(met(lists("long"), F.lit(True))).distinct()
 
 
 def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from ..functions import patterns as P
 from .fixtures import PARTIAL_SEEDS
 from .flow import MAX_DEPTH
-from .ml_queries import NET_FILTERS, NET_HIDDEN, NET_POOLS, NET_WIDTH
+from .ml_queries import FIT_L1, FIT_L2, FIT_RATE, FIT_STEPS, NET_FILTERS, NET_HIDDEN, NET_POOLS, NET_WIDTH, PIPELINE_DIMS
 
 NL = "chr(10)"
 R1 = P.NUMERIC_BRACKETS
@@ -218,6 +218,35 @@ def _conv_net_sql() -> str:
     ) + "SELECT vec_id, CAST(c AS BIGINT) AS pred FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, c) AS r FROM sc) WHERE r = 1"
 
 
+def _fit_ctes(split: str) -> list[str]:
+    """The steps of the penalised softmax fit, written out: w<t> holds the weights of
+    step t, e<t> its loss, norms and validation error."""
+    out = [P1.split("p1 AS")[0].rstrip().rstrip(","), f"sides AS MATERIALIZED ({split})",
+           "units AS MATERIALIZED (SELECT unnest(range((SELECT max(label) + 1 FROM embeddings))) AS unit)",
+           "xs AS MATERIALIZED (SELECT el.vec_id, el.label, el.dim, el.x, s.split FROM el JOIN sides s USING (vec_id))",
+           "rows_of AS MATERIALIZED (SELECT count(DISTINCT vec_id) FILTER (split = 'train') AS n FROM xs)",
+           "w0 AS MATERIALIZED (SELECT unit, dim, 0.0::DOUBLE AS w FROM units CROSS JOIN (SELECT DISTINCT dim FROM xs))",
+           "b0 AS MATERIALIZED (SELECT unit, 0.0::DOUBLE AS b FROM units)"]
+    for t in range(FIT_STEPS + 1):
+        out += [
+            f"s{t} AS MATERIALIZED (SELECT vec_id, any_value(label) AS label, any_value(split) AS split, unit, sum(x * w) + any_value(b) AS s "
+            f"FROM xs JOIN w{t} USING (dim) JOIN b{t} USING (unit) GROUP BY vec_id, unit)",
+            f"p{t} AS MATERIALIZED (SELECT vec_id, label, split, unit, exp(s - m) / sum(exp(s - m)) OVER (PARTITION BY vec_id) AS p "
+            f"FROM (SELECT *, max(s) OVER (PARTITION BY vec_id) AS m FROM s{t}))",
+            f"e{t} AS MATERIALIZED (SELECT {t} AS step, (SELECT avg(-ln(p)) FROM p{t} WHERE split = 'train' AND unit = label) + {FIT_L1} * l1 + {FIT_L2} * l2_sq AS loss, "
+            f"l1, l2_sq, (SELECT avg((unit <> label)::INT) FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, unit) AS r FROM p{t} "
+            f"WHERE split = 'test') WHERE r = 1) AS valid_error FROM (SELECT sum(abs(w)) AS l1, sum(w * w) AS l2_sq FROM w{t}))"]
+        if t < FIT_STEPS:
+            out += [
+                f"d{t} AS MATERIALIZED (SELECT vec_id, unit, (p - (unit = label)::INT) / (SELECT n FROM rows_of) AS d FROM p{t} WHERE split = 'train')",
+                f"v{t} AS MATERIALIZED (SELECT unit, dim, w - {FIT_RATE} * (g + 2 * {FIT_L2} * w) AS v FROM w{t} JOIN "
+                f"(SELECT unit, dim, sum(d * x) AS g FROM d{t} JOIN xs USING (vec_id) GROUP BY unit, dim) USING (unit, dim))",
+                f"w{t + 1} AS MATERIALIZED (SELECT unit, dim, sign(v) * greatest(abs(v) - {FIT_RATE * FIT_L1}, 0) AS w FROM v{t})",
+                f"b{t + 1} AS MATERIALIZED (SELECT unit, b - {FIT_RATE} * g AS b FROM b{t} JOIN (SELECT unit, sum(d) AS g FROM d{t} GROUP BY unit) USING (unit))"]
+    out.append("hist AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM e{t}" for t in range(FIT_STEPS + 1)) + ")")
+    return out
+
+
 def _ints(expr: str) -> str:
     return f"array_to_string({expr}, ',')"
 
@@ -408,6 +437,13 @@ def sql() -> dict[str, str]:
                            "true AS below_prior_loss FROM embeddings")
     q["train_mlp"] = (f"SELECT CAST(max(len(embedding)) AS BIGINT) AS n_inputs, CAST({P.MLP_HIDDEN} AS BIGINT) AS n_hidden, "
                       "CAST(max(label) + 1 AS BIGINT) AS n_classes, true AS better_than_chance FROM embeddings")
+    fit = _fit_ctes(q["train_test_split"].replace("doc_id", "vec_id").replace("FROM documents", "FROM embeddings"))
+    q["fit_history"] = with_(*fit) + (f"SELECT CAST(step AS BIGINT) AS step, {rnd('loss')} AS loss, {rnd('l1')} AS l1, {rnd('l2_sq')} AS l2_sq, "
+                                      f"{rnd('valid_error')} AS valid_error FROM hist")
+    q["best_validation_model"] = with_(
+        *fit, "best AS (SELECT step FROM hist ORDER BY valid_error, step LIMIT 1)",
+        "ws AS (" + " UNION ALL ".join(f"SELECT {t} AS step, * FROM w{t}" for t in range(FIT_STEPS + 1)) + ")",
+    ) + f"SELECT CAST(step AS BIGINT) AS step, CAST(unit AS BIGINT) AS unit, CAST(dim AS BIGINT) AS dim, {rnd('w')} AS w FROM ws JOIN best USING (step)"
     q["flow_lemma_tokens"] = with_(
         CLEAN_TOKS, "words AS (SELECT DISTINCT word FROM cts)", *_lemma_ctes(),
         "lem AS (SELECT c.doc_id, coalesce(b.lemma, c.word) AS word FROM cts c LEFT JOIN best b USING (word))",
@@ -419,6 +455,7 @@ def sql() -> dict[str, str]:
          "count(*) FILTER (split = 'test' AND n > 0) AS n_test_docs, CAST(sum(n) FILTER (split = 'test') AS BIGINT) AS n_test_pairs, "
          "true AS loss_fell, true AS error_is_a_share FROM used")
     q["wiki_to_plain"] = _wiki_sql()
+    q["pipeline_model"] = f"SELECT doc_id, CAST({PIPELINE_DIMS} AS BIGINT) AS dims, true AS same_vector, true AS same_class FROM documents"
     q["save_model"] = "SELECT vec_id, true AS same_prediction FROM embeddings"
     q["vectorizer_plugin"] = with_(
         f"st AS (SELECT doc_id, w AS word FROM (SELECT doc_id, unnest({tokens_of('text')}) AS w FROM documents) "

@@ -3,7 +3,7 @@
 G1  category graph from region / nation / customer / supplier / orders
 L1  label long form from documents + labels; L1b only the quality/toxic flags
 V1  vocabulary of the tokens of ``documents``
-W1  word vectors: the V1 word of rank r gets ``embeddings`` row ``vec_id = r``
+W1  word vectors: the V1 word of rank r gets ``embeddings`` row ``vec_id = r`` modulo their number
 P1  class weights: per ``embeddings.label``, the per-dimension mean; bias 0
 """
 

@@ -35,6 +35,15 @@ def spread_by_hash(n: int):
     return F.xxhash64(F.col("doc_id"), F.lit(n))
 
 
+def task_count(spark: SparkSession, work: int, most: int, least: int) -> int:
+    """Tasks for ``work`` units (rows or bytes): as many as the shuffle has
+    partitions, but with no fewer than ``least`` units in a task, and more of them
+    where a task would get over ``most``. For stages whose input is small beside
+    what they do, so that the planner would merge it into a few tasks."""
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-work // most), min(wanted, -(-work // least)))
+
+
 def row_key() -> list[Column]:
     """(row_id, row_hash) of a row with doc_id and text; never null. Rows with an
     equal key are copies of one row, so texts need not be stored to find them

@@ -9,7 +9,9 @@ it is DataFrame functions; the driver sees sums by domain only.
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -26,7 +28,10 @@ SMOOTHING = 0.5
 STEM = 5  # characters of a word that count, so that inflected forms are one
 TEMPER = 0.5  # scales the words' evidence, which naive Bayes counts as independent
 MAX_STEPS = 20
-TOLERANCE = 1e-6  # of all target tokens
+STALLS = 3  # steps in a row that gain under 0.01 %, after which the fit ends
+TOLERANCE = 1e-6  # of all target tokens: so near the targets the fit is done
+OFF = 1e-3  # of all target tokens: further off, a warning says so
+STILL = 1e-4  # of all tokens: a gradient step that moves less shows that no rates come nearer
 RIDGE = 1e-9
 _SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 _DOC = "#doc"  # stands in every document; carries the prior
@@ -93,18 +98,24 @@ def posteriors(rows: DataFrame, words: DataFrame, n_domains: int) -> DataFrame:
     return z.select(*keep, *[(F.col(f"e_{i}") / sum(F.col(f"e_{j}") for j in k)).alias(f"p_{i}") for i in k])
 
 
-def rate_column(steps: list[list[float]]) -> Column:
+def rate_column(steps: list[list[float]], start: Column | None = None) -> Column:
     """Rate of a document after the steps: each takes off the posterior-weighted
-    step and projects to zero or more; the start is 1. As the steps are a few
+    step and projects to zero or more; they begin with ``start`` (else 1). As the steps are a few
     numbers each, a document's rate is computed from them afresh and no rates
     are stored between steps."""
-    rate = F.lit(1.0)
+    rate = F.lit(1.0) if start is None else start
     for step in steps:
         rate = F.greatest(F.lit(0.0), rate - sum(F.col(f"p_{i}") * F.lit(float(x)) for i, x in enumerate(step)))
     return rate
 
 
-def fit_rates(members: DataFrame, weights: list[float]) -> list[list[float]]:
+class Fit(NamedTuple):
+    steps: list[list[float]]  # for ``rate_column``
+    gap: float  # largest difference of a domain's tokens from its target, over all target tokens
+    converged: bool  # targets met, or as near as nonnegative rates come
+
+
+def fit_rates(members: DataFrame, weights: list[float]) -> Fit:
     """Projected gradient steps for members(n_tokens, p_0 ..).
 
     With T the expected domain tokens at the present rates and t the targets, the
@@ -112,38 +123,52 @@ def fit_rates(members: DataFrame, weights: list[float]) -> list[list[float]]:
     n p p' over the documents: it whitens the domains, so that in the metric of the
     token counts the gradient's Lipschitz constant is 1 and a step of size 1 always
     descends. First a longer step is tried, whitened by the documents whose rate
-    is still above zero; it is taken if it descends. t is ``weights`` times the
-    total at which the first domain keeps its tokens; targets out of reach are met
-    as nearly as the objective allows. Returns the steps for ``rate_column``."""
+    is still above zero; it is taken if it descends enough. t is ``weights`` times the
+    total at which the first domain keeps its tokens. The fit ends when the targets
+    are met, or when a step of size 1 moves next to no tokens, which is the
+    condition of the optimum with nonnegative rates: then targets out of reach are
+    met as nearly as the objective allows. If neither holds after ``MAX_STEPS``
+    steps, or ``STALLS`` of them in a row gain next to nothing, the fit is returned as
+    not converged; a gap over ``OFF`` gives a warning."""
     k = len(weights)
     n = F.col("n_tokens").cast("double")
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
 
     def sums(steps):
-        got = members.withColumn("r", rate_column(steps)).agg(
+        rates = members.withColumn("r0", rate_column(steps[:-1]))
+        got = rates.withColumn("r", rate_column(steps[-1:], F.col("r0"))).agg(
+            F.sum(n * F.abs(F.col("r") - F.col("r0"))).alias("moved"), F.sum(n * F.col("r0")).alias("of"),
             *[F.sum(n * F.col("r") * F.col(f"p_{i}")).alias(f"t_{i}") for i in range(k)],
             *[F.sum(F.when(F.col("r") > 0, n * F.col(f"p_{i}") * F.col(f"p_{j}"))).alias(f"m_{i}_{j}") for i, j in pairs]).first()
         m = np.array([[got[f"m_{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
-        return np.array([got[f"t_{i}"] or 0.0 for i in range(k)]), m
+        return np.array([got[f"t_{i}"] or 0.0 for i in range(k)]), m, (got["moved"] or 0.0) <= STILL * (got["of"] or 0.0)
 
     inverse = lambda m: np.linalg.pinv(m + RIDGE * max(1.0, m.trace()) * np.eye(k))
     share = np.array(weights, float) / sum(weights)
     steps: list[list[float]] = []
-    now, active = sums(steps)
+    now, active, _ = sums(steps)
     target = share * now[0] / share[0]
     whiten = inverse(active)
     loss = lambda t: float((t - target) @ whiten @ (t - target))
-    while len(steps) < MAX_STEPS and np.abs(now - target).max() > TOLERANCE * max(1.0, target.sum()):
+    gap = lambda t: float(np.abs(t - target).max() / max(1.0, target.sum()))
+    done, stalled = gap(now) <= TOLERANCE, 0
+    while not done and len(steps) < MAX_STEPS:
         before = loss(now)
         for w in (inverse(active), whiten):
             trial = [*steps, (w @ (now - target)).tolist()]
-            then, left = sums(trial)
-            if loss(then) < before or w is whiten:
+            then, left, still = sums(trial)
+            gains = loss(then) < before * (1 - 1e-4)
+            if gains:
                 break
+        done = gap(then) <= TOLERANCE or (w is whiten and still)
         steps, now, active = trial, then, left
-        if loss(now) > before * (1 - 1e-4):
+        stalled = 0 if gains else stalled + 1
+        if stalled == STALLS:
             break
-    return steps
+    if gap(now) > OFF:
+        state = "out of reach" if done else f"not reached in {len(steps)} steps"
+        warnings.warn(f"mixing targets {state}: {gap(now):.2%} of the target tokens off", stacklevel=2)
+    return Fit(steps, gap(now), done)
 
 
 def _fitted(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:
@@ -154,15 +179,18 @@ def _fitted(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) ->
     among = [r.token for r in words.select("token").collect()]  # VOCABULARY + 1 at most
     rows = _rows(docs, *[c for c in docs.columns if c != "text"], among=among)
     members = materialize(posteriors(rows, words, len(domains)), "mix-members")
-    rate = rate_column(fit_rates(members, list(targets.values())))
+    fit = fit_rates(members, list(targets.values()))
     # part of a copy becomes a whole one for that part of the ids, by a hash
     chance = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(11)), 11) / F.lit(float(1 << 53))
-    return members.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + chance).cast("int"))
+    return (members.withColumn("rate", rate_column(fit.steps)).withColumn("copies", F.floor(F.col("rate") + chance).cast("int"))
+            .withColumn("target_gap", F.lit(fit.gap)).withColumn("converged", F.lit(fit.converged)))
 
 
 def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:
-    """documents -> doc_id, n_tokens, p_<domain> .., rate, copies; one row per
-    input row. ``targets`` are the wanted shares of all tokens by domain; the
+    """documents -> doc_id, n_tokens, p_<domain> .., rate, copies, target_gap,
+    converged; one row per input row. The last two are of the whole fit (see
+    ``Fit``): how far the expected tokens stay from the targets, and whether no
+    rates come nearer. ``targets`` are the wanted shares of all tokens by domain; the
     first domain keeps its expected tokens and the others are scaled to it.
 
     Null and empty texts have no tokens, a posterior from the marks alone, and no
@@ -170,12 +198,16 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
     repeated labels the least domain counts. Without labels all posteriors are
     equal. Repeated rows count each time; an empty table gives an empty table."""
     got = _fitted(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("id")), labelled, targets)
-    return got.select("doc_id", "n_tokens", *[F.col(f"p_{i}").alias(f"p_{d}") for i, d in enumerate(targets)], "rate", "copies")
+    return got.select("doc_id", "n_tokens", *[F.col(f"p_{i}").alias(f"p_{d}") for i, d in enumerate(targets)], "rate", "copies",
+                      "target_gap", "converged")
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:
     """The rows of ``docs`` repeated ``copies`` times (0: left out), columns
-    unchanged, so that the expected domain tokens meet the targets."""
+    unchanged, so that the expected domain tokens meet the targets; where they
+    cannot, or the fit did not converge, a warning says how far off they are.
+    Null and empty texts, labels and empty tables as in ``mixing_rates``; rows
+    equal in id and text are repeated alike. Columns of ``docs`` keep any name."""
     flat = docs.select("doc_id", "text", *row_key(), F.monotonically_increasing_id().alias("id"))
     got = _fitted(flat, labelled, targets).where("copies > 0")
     copies = materialize(got.select("row_id", "row_hash", "copies").distinct(), "mix-copies")

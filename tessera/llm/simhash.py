@@ -19,13 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ..session import materialize
-from .common import packed, row_key
+from .common import packed, row_key, task_count
 from .components import connected_components
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
 SEGMENTS = 3
 SEED = 42
+TASK_PRINTS, LEAST_TASK_PRINTS = 1_000_000, 10_000  # fingerprints whose balls one task enumerates
 _CHUNK = 1 << 16  # shingles whose bits are counted at once: bounds memory for very long texts
 
 
@@ -102,7 +103,9 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS)
         if flips:
             home = _key(fp, s, offset, width)
             balls.append(F.array(*[home.bitwiseXOR(F.lit(x).cast("bigint")) for x in flips]))
-    lookups = known.select("fp", "rep", F.explode(F.concat(*balls)).alias("key"))
+    # a ball has some 45 keys: the rows to look up are spread by their number, not by the small table's bytes
+    tasks = task_count(nodes.sparkSession, known.count(), TASK_PRINTS, LEAST_TASK_PRINTS)
+    lookups = known.repartition(tasks, "fp").select("fp", "rep", F.explode(F.concat(*balls)).alias("key"))
     buckets = known.select(F.col("fp").alias("fp2"), F.col("rep").alias("rep2"), F.explode(F.array(*[
         _key(fp, s, offset, width) for s, (offset, width, radius) in enumerate(plan) if radius >= 0])).alias("key2"))
     found = lookups.join(buckets, (F.col("key") == F.col("key2")) & (F.col("fp") < F.col("fp2"))

@@ -25,10 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, scratch_path
+from .common import task_count
 
 MIN_SHARED_BYTES = 100  # smaller payloads are always written in full
 MAX_FILE_BYTES = 256 << 20  # an archive file is closed beyond this size
 BLOCK_LINES = 1000  # index lines in a compressed block
+TASK_BYTES = 64 << 20  # most archive bytes that a task reads back
+LEAST_TASK_BYTES = 1 << 20
+LEAST_TASK_LINES = 5000  # fewest index lines that are worth a file of their own
 GZIP_LEVEL = 4
 DATE = "1970-01-01T00:00:00Z"  # the tables hold no capture time
 _HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\n"
@@ -210,8 +214,11 @@ def _write_index(folder: str, block_lines: int):
 
 def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> DataFrame:
     """Sort the captures by key into index files under ``folder``, one per range
-    of keys; returns (first_key, file, lines), one row per file."""
-    ranges = captures.repartitionByRange("key").sortWithinPartitions("key")
+    of keys; returns (first_key, file, lines), one row per file; there are at most
+    as many files as the shuffle has partitions."""
+    lines = captures.count()
+    n = task_count(captures.sparkSession, lines, max(1, lines), LEAST_TASK_LINES)
+    ranges = captures.repartitionByRange(n, "key").sortWithinPartitions("key")
     return materialize(ranges.mapInArrow(_write_index(folder, block_lines), _FILES), "warc-index")
 
 
@@ -270,10 +277,12 @@ class Reader:
         return parse_record(self._range(self.afs, f"{self.apath}/{place[0]}", place[1], place[2]))
 
 
-def read_captures(keys: DataFrame, archive: str, index: str, files: DataFrame, payload: bool = False) -> DataFrame:
+def read_captures(keys: DataFrame, archive: str, index: str, files: DataFrame, payload: bool = False,
+                  tasks: int | None = None) -> DataFrame:
     """keys(key) -> the records' fields, read through the index; keys that the
     index does not hold give no row. The keys are sorted by range, so a task
-    touches few index blocks. The list of index files is sent to every task: a
+    touches few index blocks; ``tasks`` is their number (else the planner's, which
+    sees the keys' size only and not that of the records). The list of index files is sent to every task: a
     row for each range partition of ``write_index``, whatever the data."""
     tops = sorted((r.first_key, r.file) for r in files.select("first_key", "file").collect())
 
@@ -288,7 +297,8 @@ def read_captures(keys: DataFrame, archive: str, index: str, files: DataFrame, p
                 if not payload:
                     rows = [r | {"payload": None} for r in rows]
                 yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, types)], names=names)
-    return keys.select("key").repartitionByRange("key").sortWithinPartitions("key").mapInArrow(look, _READ)
+    spread = keys.select("key").repartitionByRange(*([tasks] if tasks else []), "key")
+    return spread.sortWithinPartitions("key").mapInArrow(look, _READ)
 
 
 def archive_and_read(spark: SparkSession, pages: DataFrame) -> DataFrame:
@@ -300,5 +310,7 @@ def archive_and_read(spark: SparkSession, pages: DataFrame) -> DataFrame:
     root = scratch_path(spark, "warc")
     captures = write_archives(pages, f"{root}/archive")
     files = write_index(captures, f"{root}/index")
-    return read_captures(captures, f"{root}/archive", f"{root}/index", files).select(
+    stored = captures.agg(F.sum("length")).first()[0] or 0
+    tasks = task_count(spark, stored, TASK_BYTES, LEAST_TASK_BYTES)
+    return read_captures(captures, f"{root}/archive", f"{root}/index", files, tasks=tasks).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

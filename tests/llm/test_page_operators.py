@@ -143,7 +143,9 @@ def test_archives_round_trip(spark, tmp_path):
     df, data = some_pages(spark)
     captures = warc.write_archives(df, f"{tmp_path}/archive")
     files = warc.write_index(captures, f"{tmp_path}/index", block_lines=10)
-    got = warc.read_captures(captures, f"{tmp_path}/archive", f"{tmp_path}/index", files, payload=True).collect()
+    read = warc.read_captures(captures, f"{tmp_path}/archive", f"{tmp_path}/index", files, payload=True, tasks=5)
+    assert read.rdd.getNumPartitions() == 5
+    got = read.collect()
     assert len(got) == len(data)
     first = {}
     for i, _, h in data:

@@ -6,12 +6,13 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import components, compression, mixing, pieces, quality, queries, secrets, simhash, toxicity
+from tessera.llm import common, components, compression, mixing, oracle, pieces, quality, queries, secrets, simhash, toxicity
 
 from .helpers import awkward_docs, count_ids, no_docs, prose, rows
 
@@ -68,6 +69,31 @@ def test_hosts_that_mostly_fail_are_rejected_and_small_ones_shrunk(spark):
     assert all(got[1000 + i] for i in range(500)) and got[2001] and not got[2000]
 
 
+def test_host_verdicts_match_sql(spark, tmp_path):
+    """Hosts of 1 to 400 documents with failure rates from none to all: verdicts
+    that shrinking turns, both ways, are those of the SQL."""
+    rng = random.Random(9)
+    sizes = [(1, 1.0), (2, 1.0), (3, 0.67), (5, 0.6), (8, 0.5), (20, 0.55), (60, 0.5), (150, 0.45), (400, 0.9), (400, 0.02), (90, 0.0)]
+    data = []
+    for host, (n, share) in enumerate(sizes * 2):
+        for i in range(n):
+            bad = rng.choice(["spam " * 40, "# $ % & | < >" * 8 + " word" * 3, "few words", None])
+            data.append((len(data), bad if i < share * n else prose(rng, 40), f"host{host}" if host else None))
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, source string")
+    docs.write.parquet(f"{tmp_path}/documents")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents/*.parquet')")
+    got = quality.quality_rules(docs)
+    want = con.execute(oracle.sql()["op4_quality_rules"]).df()
+    assert rows(got, *got.columns) == sorted((tuple(x) for x in want[got.columns].itertuples(index=False)), key=repr)
+    turned = got.where("not base_failed and not kept").count()
+    assert 0 < turned < got.where("not base_failed").count()
+    verdicts = {r.source: r for r in quality.host_verdicts(docs.join(got, "doc_id").select(
+        "source", F.col("base_failed").alias("failed"))).collect()}
+    raw = lambda r: r.n_failed / r.n_docs
+    assert any(raw(r) >= quality.MAX_HOST_RATE > r.rate for r in verdicts.values()) and any(r.rejected for r in verdicts.values())
+
+
 def test_beta_prior():
     assert quality.beta_prior(0, 0, 0, 0.0) == (0.5, 0.5)
     a, b = quality.beta_prior(4, 400, 40, 4 * 100 / 100)  # all hosts alike
@@ -76,6 +102,12 @@ def test_beta_prior():
     assert a + b == pytest.approx(1.0)
 
 
+def test_task_count(spark):
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert common.task_count(spark, 0, 100, 10) == 1 and common.task_count(spark, 25, 1000, 10) == min(parts, 3)
+    assert common.task_count(spark, 10 ** 6, 100, 10) == 10 ** 4 and common.task_count(spark, 10 ** 6, 10 ** 6, 10) == parts
+
+
 # ---- SimHash -------------------------------------------------------------
 
 def brute_fingerprint(text, k=4):
@@ -426,6 +458,37 @@ def test_posteriors_match_brute_force(spark):
         assert np.allclose([r.p_good, r.p_low, r.p_toxic], e / e.sum())
 
 
+def test_fit_says_whether_targets_are_met(spark):
+    rng = np.random.default_rng(4)
+    p = rng.dirichlet([1.0, 1.0, 1.0], 300)
+    data = [(i, int(rng.integers(5, 200)), *map(float, x)) for i, x in enumerate(p)]
+    data += [(900, 0, 0.2, 0.3, 0.5), (901, 0, 0.2, 0.3, 0.5)]
+    members = spark.createDataFrame(data, "id int, n_tokens long, p_0 double, p_1 double, p_2 double")
+    met = mixing.fit_rates(members, [0.6, 0.3, 0.1])
+    assert met.converged and met.gap <= mixing.TOLERANCE
+    # every document holds a tenth of the third domain: a share of nothing is out of reach
+    far = members.selectExpr("id", "n_tokens", "0.9 * p_0 as p_0", "0.9 * (p_1 + p_2) as p_1", "double(0.1) as p_2")
+    with pytest.warns(UserWarning, match="out of reach"):
+        fit = mixing.fit_rates(far, [0.5, 0.5, 0.0])
+    assert fit.converged and fit.gap > mixing.OFF
+    rows = far.withColumn("r", mixing.rate_column(fit.steps)).collect()
+    n, q, r = (np.array([list(x) if isinstance(x, tuple) else x for x in c], float) for c in
+               ([x.n_tokens for x in rows], [(x.p_0, x.p_1, x.p_2) for x in rows], [x.r for x in rows]))
+    target = np.array([0.5, 0.5, 0.0]) * (n @ q[:, 0]) / 0.5
+    assert np.abs((n * r) @ q - target).max() / target.sum() == pytest.approx(fit.gap)
+    # the optimum's condition: no gradient where a rate is positive, none downwards at zero
+    w = np.linalg.pinv((q * n[:, None]).T @ q)
+    step = np.maximum(0, r - q @ (w @ ((n * r) @ q - target))) - r
+    assert n @ np.abs(step) <= 2 * mixing.STILL * (n @ r)
+    cut = mixing.MAX_STEPS
+    try:
+        mixing.MAX_STEPS = 0
+        with pytest.warns(UserWarning, match="not reached in 0 steps"):
+            assert not mixing.fit_rates(members, [0.6, 0.3, 0.1]).converged
+    finally:
+        mixing.MAX_STEPS = cut
+
+
 def test_mixing_on_awkward_rows(spark):
     _, labels, _ = labelled(spark)
     docs, known = awkward_docs(spark), queries.labelled_domains(labels)

@@ -72,6 +72,10 @@ WIKI_DROP = (
 )
 WIKI_TEMPLATE = r"\{\{[^{}]*\}\}"      # innermost templates; applied as often as they nest
 WIKI_TEMPLATE_MARK = r"\{\{|\}\}"
+WIKI_TEMPLATE_RUN = r"\{\{+|\}\}+"    # a run counts as many marks of two
+WIKI_TABLE_MARK = r"(?m)^[ \t:]*\{\||^[ \t]*\|\}"
+WIKI_LINK_MARK = r"\[\[|\]\]"
+WIKI_INNER_LINK = r"\[\[(?:[^\[\]]*\|)?([^\[\]|]*)\]\]"
 WIKI_TABLE = r"(?s)\{\|.*?\|\}"
 WIKI_PIPED_LINK = r"\[\[[^\]|]*\|([^\]]*)\]\]"
 WIKI_LINK = r"\[\[([^\]]*)\]\]"
@@ -95,6 +99,7 @@ HTML_ENTITIES = (          # &amp; goes last so "&amp;lt;" is not decoded twice
     ("&middot;", "\u00b7"),
     ("&amp;", "&"),
 )
+CHARACTER_REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 HTML_SPACE_RUN = r"[ \t\n\r\f]+"
 
 # Training settings of the original scripts (used as defaults).

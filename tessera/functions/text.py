@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -91,13 +94,13 @@ def ascii_only(text) -> Column:
 
 # -- markup ------------------------------------------------------------------
 
-def _nesting(text: Column) -> Column:
-    """Deepest nesting of ``{{`` .. ``}}`` in a text (null: 0)."""
-    marks = F.coalesce(F.regexp_extract_all(text, F.lit(P.WIKI_TEMPLATE_MARK), F.lit(0)), F.array().cast("array<string>"))
+def nesting(text: Column, pattern: str = P.WIKI_TEMPLATE_MARK, opening: str = "{{") -> Column:
+    """Deepest nesting of the marks that ``pattern`` finds in a text (null: 0)."""
+    marks = F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))
     start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
 
     def step(a, mark):
-        now = F.when(mark == "{{", a["now"] + 1).otherwise(F.greatest(a["now"] - 1, F.lit(0)))
+        now = F.when(mark == opening, a["now"] + 1).otherwise(F.greatest(a["now"] - 1, F.lit(0)))
         return F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"))
     return F.aggregate(marks, start, step, lambda a: a["most"])
 
@@ -107,17 +110,40 @@ def wiki_to_plain(text) -> Column:
     for pat in P.WIKI_DROP:
         c = F.regexp_replace(c, pat, "")
     # innermost templates go first: as many passes as this text nests them deep
-    c = F.aggregate(F.sequence(F.lit(0), _nesting(c)), c,
+    c = F.aggregate(F.sequence(F.lit(0), nesting(c)), c,
                     lambda t, i: F.when(i > 0, F.regexp_replace(t, P.WIKI_TEMPLATE, "")).otherwise(t))
     c = F.regexp_replace(c, P.WIKI_TABLE, "")
     c = F.regexp_replace(c, P.WIKI_PIPED_LINK, "$1")
-    c = F.regexp_replace(c, P.WIKI_LINK, "$1")
-    c = F.regexp_replace(c, P.WIKI_EXTERNAL_LINK, "$1")
+    return wiki_inline(F.regexp_replace(c, P.WIKI_LINK, "$1"))
+
+
+def wiki_inline(text) -> Column:
+    """External links to their text; emphasis, heading marks and tags out."""
+    c = F.regexp_replace(_col(text), P.WIKI_EXTERNAL_LINK, "$1")
     c = F.regexp_replace(c, P.WIKI_EMPHASIS, "")
     c = F.regexp_replace(c, P.WIKI_HEADING, "$1")
     return F.regexp_replace(c, P.WIKI_TAG, "")
 
 
+def decode_references(text) -> Column:
+    """Character references to their characters: decimal, hexadecimal and all
+    named ones that end in a semicolon. Each is decoded once; unknown names stay,
+    numbers of no character become U+FFFD."""
+    c = _col(text)
+    names = F.from_json(F.lit(json.dumps({f"&{k}": v for k, v in html5.items() if k.endswith(";")})), "map<string,string>")
+
+    def char(ref: Column) -> Column:
+        code = F.when(ref.rlike("^&#[xX]"), F.conv(F.regexp_extract(ref, "[xX]([0-9a-fA-F]+)", 1), 16, 10)).otherwise(
+            F.regexp_extract(ref, "&#([0-9]+)", 1)).try_cast("long")
+        bad = (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+        known = F.decode(F.unhex(F.lpad(F.hex(F.when(bad, 0xFFFD).otherwise(code)), 8, "0")), "UTF-32")
+        return F.when(ref.startswith("&#"), known).otherwise(F.coalesce(F.element_at(names, ref), ref))
+
+    refs = F.transform(F.regexp_extract_all(c, F.lit(P.CHARACTER_REFERENCE), F.lit(0)), char)
+    parts = F.zip_with(F.split(c, P.CHARACTER_REFERENCE), refs, lambda part, ref: F.concat(part, F.coalesce(ref, F.lit(""))))
+    return F.when(F.contains(c, F.lit("&")), F.array_join(parts, "")).otherwise(c)
+
+
 def html_to_plain(html) -> Column:
     c = _col(html)
     for pat in P.HTML_DROP:

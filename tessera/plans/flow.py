@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..operators import batching as B
 from ..operators import evaluate as E
 from ..operators import labels as L
+from ..operators import markup as MK
 from ..operators import ml as ML
 from ..operators import text as TX
 from ..operators import vectors as V
@@ -77,5 +78,23 @@ def wiki_to_plain(spark, sf):
     return wiki_text(spark, sf).select("doc_id", T.wiki_to_plain("text").alias("plain"))
 
 
+def wiki_nested_text(spark, sf):
+    """Fixture: each whole document as wiki markup with tables and templates in
+    one another, a linked caption, character references and marks left open."""
+    i = F.col("doc_id")
+    depth = (i % MAX_DEPTH + 1).cast("int")
+    text = F.concat(F.repeat(F.lit("{{t|"), depth), "lang", F.repeat(F.lit("}}"), depth),
+                    F.lit("\n"), F.repeat(F.lit("{| out\n| a {{cell\n|}}\n"), depth), "lang", F.repeat(F.lit("\n|}\n"), depth),
+                    F.lit("[[File:x.png|thumb|seen [[page|"), "source", F.lit("]] here]] caf&eacute; &#233;&#x1F642; &nosuch; &amp;lt; "),
+                    F.when(i % 3 == 0, "{{left [[open ").otherwise("]] }} "), F.when(i % 5 == 0, "\n{| open\n").otherwise("\n|}\n"),
+                    "text", F.when(i % 4 == 0, " }} ]] ").otherwise(""))
+    return FX.table(spark, sf, "documents").select("doc_id", text.alias("text"))
+
+
+def wiki_nested_to_plain(spark, sf):
+    return MK.wiki_documents_to_plain(wiki_nested_text(spark, sf))
+
+
 def registry():
-    return {"flow_lemma_tokens": flow_lemma_tokens, "flow_train_evaluate": flow_train_evaluate, "wiki_to_plain": wiki_to_plain}
+    return {"flow_lemma_tokens": flow_lemma_tokens, "flow_train_evaluate": flow_train_evaluate, "wiki_to_plain": wiki_to_plain,
+            "wiki_nested_to_plain": wiki_nested_to_plain}

@@ -182,6 +182,35 @@ def _wiki_sql() -> str:
     return f"SELECT doc_id, {c} AS plain FROM documents"
 
 
+def _wiki_nested_sql() -> str:
+    """The nested fixture: every mark becomes one control character, and innermost
+    pairs go pass by pass, as often as the fixture nests them."""
+    depth = f"CAST(doc_id % {MAX_DEPTH} + 1 AS BIGINT)"
+    c = (f"repeat('{{{{t|', {depth}) || lang || repeat('}}}}', {depth}) || {NL} || "
+         f"repeat('{{| out' || {NL} || '| a {{{{cell' || {NL} || '|}}}}' || {NL}, {depth}) || lang || repeat({NL} || '|}}' || {NL}, {depth}) || "
+         f"'[[File:x.png|thumb|seen [[page|' || source || ']] here]] caf&eacute; &#233;&#x1F642; &nosuch; &amp;lt; ' || "
+         f"CASE WHEN doc_id % 3 = 0 THEN '{{{{left [[open ' ELSE ']] }}}} ' END || "
+         f"CASE WHEN doc_id % 5 = 0 THEN {NL} || '{{| open' || {NL} ELSE {NL} || '|}}' || {NL} END || "
+         "text || CASE WHEN doc_id % 4 = 0 THEN ' }} ]] ' ELSE '' END")
+    for pattern in P.WIKI_DROP:
+        c = f"regexp_replace({c}, {_q(pattern)}, '', 'g')"
+    c = f"replace(replace({c}, '{{{{', chr(1)), '}}}}', chr(2))"
+    for _ in range(MAX_DEPTH + 1):
+        c = f"regexp_replace({c}, '\\x01[^\\x01\\x02]*\\x02', '', 'g')"
+    c = f"replace(replace({c}, chr(1), '{{{{'), chr(2), '}}}}')"
+    c = f"regexp_replace(regexp_replace({c}, '(?m)^\\{{\\|', chr(3), 'g'), '(?m)^\\|\\}}', chr(4), 'g')"
+    for _ in range(MAX_DEPTH + 1):
+        c = f"regexp_replace({c}, '\\x03[^\\x03\\x04]*\\x04', '', 'g')"
+    c = f"replace(replace({c}, chr(3), '{{|'), chr(4), '|}}')"
+    for _ in range(3):
+        c = f"regexp_replace({c}, {_q(P.WIKI_INNER_LINK)}, '\\1', 'g')"
+    for pattern, to in [(P.WIKI_EXTERNAL_LINK, "\\1"), (P.WIKI_EMPHASIS, ""), (P.WIKI_HEADING, "\\1"), (P.WIKI_TAG, "")]:
+        c = f"regexp_replace({c}, {_q(pattern)}, '{to}', 'g')"
+    for ref, char in [("&eacute;", "chr(233)"), ("&#233;", "chr(233)"), ("&#x1F642;", "chr(128578)"), ("&amp;", "'&'")]:
+        c = f"replace({c}, '{ref}', {char})"
+    return f"SELECT doc_id, {c} AS plain FROM documents"
+
+
 def _conv_net_sql() -> str:
     """The net of ``ml_queries.conv_net_weights`` as joins and sums; b of a unit is the
     stored weight of its number."""
@@ -455,6 +484,7 @@ def sql() -> dict[str, str]:
          "count(*) FILTER (split = 'test' AND n > 0) AS n_test_docs, CAST(sum(n) FILTER (split = 'test') AS BIGINT) AS n_test_pairs, "
          "true AS loss_fell, true AS error_is_a_share FROM used")
     q["wiki_to_plain"] = _wiki_sql()
+    q["wiki_nested_to_plain"] = _wiki_nested_sql()
     q["pipeline_model"] = f"SELECT doc_id, CAST({PIPELINE_DIMS} AS BIGINT) AS dims, true AS same_vector, true AS same_class FROM documents"
     q["save_model"] = "SELECT vec_id, true AS same_prediction FROM embeddings"
     q["vectorizer_plugin"] = with_(

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators import markup as M
 
 
 def one(spark, value, fn):
@@ -70,6 +71,25 @@ def test_wiki_to_plain(spark):
     assert one(spark, text, T.wiki_to_plain) == "Algebra is a branch of math.\nHistory\nsite"
 
 
+def test_nested_wiki_documents(spark):
+    cases = [
+        (1, "a {{x {{y}} {| z\n|}}} b", "a  b"),
+        (2, "a\n{| o\n| b\n{| i\n|}\n| c\n|}\nd", "a\n\nd"),
+        (3, "[[File:f.png|thumb|see [[p|the page]] now]]!", "see the page now!"),
+        (4, "open {{ stays and {{this}} goes", "open {{ stays and  goes"),
+        (5, "closed }} stays ]] |} {{gone}}", "closed }} stays ]] |} "),
+        (6, "{{{p}}} {{a|{{{b}}}}} {{{{c}} d", "  {{ d"),
+        (7, "&eacute;&#233;&#xE9; &amp;lt; &nosuch; &#0;&#x1F642; &", "ééé &lt; &nosuch; \ufffd🙂 &"),
+        (8, "", ""), (9, None, None), (10, "{{" * 3000 + "x" + "}}" * 2999 + " y", "{{ y"),
+    ]
+    df = spark.createDataFrame([(i, t, "clash") for i, t, _ in cases], "doc_id long, text string, at string")
+    got = {r.doc_id: r.plain for r in M.wiki_documents_to_plain(df).collect()}
+    assert got == {i: want for i, _, want in cases}
+    assert M.wiki_documents_to_plain(df.limit(0)).count() == 0
+    plan = M.wiki_documents_to_plain(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan
+
+
 def test_html_to_plain(spark):
     html = ("<html><head><script>var a='<p>';</script><style>p{}</style></head>"
             "<body><p>Fish &amp; chips&nbsp;&lt;3</p><!-- c --><b>ok</b></body></html>")

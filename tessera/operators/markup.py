@@ -58,4 +58,6 @@ def wiki_documents_to_plain(docs: DataFrame) -> DataFrame:
         c = F.regexp_replace(c, pattern, "")
     rows = drop_balanced(docs.select("doc_id", c.alias("text")), P.WIKI_TEMPLATE_RUN, "{{", 2)
     rows = drop_balanced(rows, P.WIKI_TABLE_MARK, "{|", 0)
-    return rows.select("doc_id", T.decode_references(T.wiki_inline(links_to_text(F.col("text")))).alias("plain"))
+    # a projection of its own: the decoding names its text several times
+    rows = rows.select("doc_id", T.wiki_inline(links_to_text(F.col("text"))).alias("text"))
+    return rows.select("doc_id", T.decode_references("text").alias("plain"))

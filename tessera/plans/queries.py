@@ -67,7 +67,7 @@ def _doc_vectors(spark, sf):
     """Documents -> mean word vectors. The corpus is tokenised once: the
     term-frequency table feeds both the vocabulary counts and the means."""
     docs = _t(spark, sf, "documents").select("doc_id", "text")
-    tf = materialize(V.term_frequencies(TX.tokens_long(docs)), "doc-tf")
+    tf = materialize(V.term_frequencies(TX.tokens_long(V.by_document(docs))), "doc-tf")
     vocab = V.vocabulary_from_counts(V.counts_from_tf(tf))
     w1 = FX.word_vectors(spark, sf, vocab)
     return V.mean_embedding_tf(docs, tf, w1)

@@ -72,14 +72,18 @@ def vectors_by_block(words: DataFrame, vectors: DataFrame, word_col: str = "word
     return words.select("_block", word_col).distinct().join(vectors, word_col, "inner")
 
 
-def lookup_word_vectors(tokens: DataFrame, vectors: DataFrame, word_col: str = "word") -> DataFrame:
+def lookup_word_vectors(tokens: DataFrame, vectors: DataFrame, word_col: str = "word", id_col: str = "doc_id",
+                        blocks: int | None = None) -> DataFrame:
     """Inner lookup: unknown words drop out, repeats stay.
 
-    The join strategy is left to AQE: the vector table is broadcast when its
-    measured size is under the broadcast threshold, else both sides shuffle
-    on ``word`` and skewed (frequent) words are split by the skew-join rule.
+    Tokens meet the vectors by block of documents and word, so a frequent word is cut
+    into as many groups as there are blocks and no task gets all its tokens. The
+    vectors of a part are looked up in a hash table: its tokens are never sorted or held.
     """
-    return tokens.join(vectors, word_col, "inner")
+    blocks = blocks or max(LEAST_BLOCKS, tokens.rdd.getNumPartitions())
+    dealt, known = tokens.withColumn("_block", block_of(id_col, blocks)), ["_block", word_col]
+    needed = vectors_by_block(dealt, vectors, word_col).repartition(4 * blocks, *known)
+    return dealt.repartition(4 * blocks, *known).join(needed.hint("shuffle_hash"), known, "inner").drop("_block")
 
 
 def term_frequencies(tokens: DataFrame, id_col: str = "doc_id", word_col: str = "word") -> DataFrame:

@@ -285,10 +285,12 @@ def encode_labels(spark, sf):
 
 def lookup_word_vectors(spark, sf):
     # the tokens are stored: the vocabulary and the lookup read them, the texts are cut once
-    tokens = materialize(FX.document_tokens(spark, sf), "tokens")
+    docs = _t(spark, sf, "documents").select("doc_id", "text")
+    blocks = V.document_blocks(docs)
+    tokens = materialize(TX.tokens_long(V.by_document(docs, blocks=blocks)), "tokens")
     vocab = V.build_vocabulary(tokens)
     w1 = FX.word_vectors(spark, sf, vocab)
-    known = V.lookup_word_vectors(tokens, w1)
+    known = V.lookup_word_vectors(tokens, w1, blocks=blocks)
     return known.select("doc_id", F.col("pos").cast("long").alias("pos"), "word")
 
 

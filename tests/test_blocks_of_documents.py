@@ -46,3 +46,42 @@ def test_words_are_counted_without_moving_tokens(spark):
     docs = _wide(spark, 100)
     plan = _plan(V.term_frequencies(TX.tokens_long(V.by_document(docs))))
     assert plan.count("Exchange") == 1 and "hashpartitioning(doc_id" in plan
+
+
+def test_frequent_word_is_cut_into_blocks(spark):
+    docs = _wide(spark, 500)
+    vectors = spark.createDataFrame([("cat", [1.0]), ("w3", [2.0])], "word string, vector array<double>")
+    tokens = TX.tokens_long(docs)
+    got = V.lookup_word_vectors(tokens, vectors)
+    plan = _plan(got)
+    assert "ShuffledHashJoin" in plan and "_block" in plan
+    want = tokens.where("word in ('cat', 'w3')")
+    assert got.select("doc_id", "pos", "word").exceptAll(want).count() == 0 and got.count() == want.count()
+
+
+def test_changed_lemmas_are_the_lemmas_that_differ(spark):
+    words = spark.createDataFrame([(w,) for w in ["cats", "cat", "boxes", "box", "glass", "men", "man", "s", "wolves", "wolf", "runs"]], "word string")
+    every = {r["word"]: r["lemma"] for r in TX.noun_lemma_map(words, words, distinct=True).collect()}
+    changed = {r["word"]: r["lemma"] for r in TX.changed_lemmas(words, words).collect()}
+    assert changed == {w: x for w, x in every.items() if w != x} and changed["cats"] == "cat"
+
+
+def test_tfidf_moves_texts_once_and_terms_once(spark):
+    docs = _wide(spark, 60)
+    feats = ML.vectorize(TX.tokens_long(V.by_document(docs)), ML.tfidf_plugin(docs))
+    assert "hashpartitioning(doc_id" in _plan(feats)  # counted from the texts, not read back
+    assert {(r["word"], r["tf"]) for r in feats.where("doc_id = 3").collect()} == {("cats", 1.0), ("cat", 1.0), ("runs", 1.0), ("w3", 1.0)}
+
+
+@pytest.mark.parametrize("rows", [0, 3, 2500])
+def test_single_block_layer_is_one_python_step(spark, rows):
+    rnd = np.random.default_rng(5)
+    x, w = rnd.normal(size=(rows, 4)), rnd.normal(size=(3, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(rows, None), (rows + 1, [1.0])], "id long, features array<double>")
+    weights = spark.createDataFrame([(u, w[u].tolist(), float(u)) for u in range(3)], "unit int, w array<double>, b double")
+    out = LN.dense_layer(df, weights, "features", "h", activation="tanh")
+    plan = _plan(out)
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+    got = {r["id"]: r["h"] for r in out.collect()}
+    assert len(got) == rows + 2 and got[rows] is None and got[rows + 1] is None
+    assert all(np.allclose(got[i], np.tanh(x[i] @ w.T + np.arange(3))) for i in range(rows))

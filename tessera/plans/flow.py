@@ -28,10 +28,11 @@ def _lemma_tf(spark, sf):
     """``(doc_id, word, tf)`` of lemmas. Term frequencies, not tokens, go
     through the lemma map, so a frequent word is one row per document there."""
     docs = FX.table(spark, sf, "documents").select("doc_id", "text")
-    tokens = TX.tokens_long(TX.clean_documents(docs), stop_words=P.ENGLISH_STOP_WORDS)
-    tf = materialize(V.term_frequencies(tokens), "flow-tf")
-    words = materialize(tf.select("word").distinct(), "flow-words")
-    lemmas = materialize(TX.noun_lemma_map(words, words, distinct=True), "flow-lemmas")
+    def tokens(texts):
+        return TX.tokens_long(TX.clean_documents(texts), stop_words=P.ENGLISH_STOP_WORDS)
+    tf = V.term_frequencies(tokens(V.by_document(docs)))
+    words = materialize(tokens(docs).select("word").distinct(), "flow-words")
+    lemmas = materialize(TX.changed_lemmas(words, words), "flow-lemmas")
     return TX.lemmatize_long(tf, lemmas).groupBy("doc_id", "word").agg(F.sum("tf").alias("tf"))
 
 

@@ -199,7 +199,7 @@ def get_doc_by_id(spark, sf):
     """One document's words without stop words, as they are and as lemmas. Only its own
     words meet the lexicon, which is the corpus's distinct words."""
     docs = PG.get_doc_by_id(_t(spark, sf, "documents"), LOOKUP_DOC_ID).select("doc_id", "text")
-    own = materialize(TX.tokens_long(docs, stop_words=P.ENGLISH_STOP_WORDS), "own-tokens")
+    own = TX.tokens_long(docs, stop_words=P.ENGLISH_STOP_WORDS)
     lemmas = TX.noun_lemma_map(own.select("word").distinct(), FX.document_tokens(spark, sf).select("word").distinct(), distinct=True)
     both = own.join(lemmas, "word", "left")
     ordered = both.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word", "lemma"))).alias("t"))
@@ -469,10 +469,11 @@ def tokenize(spark, sf):
 def lemmatize_nouns(spark, sf):
     """Lemmas of every document with their number. Term frequencies, not tokens, meet
     the lemma map, so a frequent word is one row per document there."""
-    tf = materialize(V.term_frequencies(FX.document_tokens(spark, sf)), "lemma-tf")
+    docs = _t(spark, sf, "documents").select("doc_id", "text")
+    tf = V.term_frequencies(TX.tokens_long(V.by_document(docs)))
     # the corpus words are both the words to map and the lexicon
-    words = materialize(tf.select("word").distinct(), "words")
-    lemmas = materialize(TX.noun_lemma_map(words, words, distinct=True), "lemmas")
+    words = materialize(TX.tokens_long(docs).select("word").distinct(), "words")
+    lemmas = materialize(TX.changed_lemmas(words, words), "lemmas")
     return (TX.lemmatize_long(tf, lemmas).groupBy("doc_id", F.col("word").alias("lemma"))
             .agg(F.sum("tf").cast("long").alias("n")))
 
@@ -597,7 +598,7 @@ def evaluate_model(spark, sf):
 def vectorizer_plugin(spark, sf):
     from ..operators import ml as ML
     docs = _t(spark, sf, "documents").select("doc_id", "text")
-    tokens = TX.tokens_long(docs, stop_words=P.ENGLISH_STOP_WORDS)
+    tokens = TX.tokens_long(V.by_document(docs), stop_words=P.ENGLISH_STOP_WORDS)
     feats = ML.vectorize(tokens, ML.tfidf_plugin(docs))
     return feats.select("doc_id", "word", F.col("tf").cast("long").alias("tf"), _r("tfidf").alias("tfidf"))
 

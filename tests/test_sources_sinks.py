@@ -180,3 +180,20 @@ def test_vector_store_reads_only_the_ranges_it_needs(spark, tmpdir_path):
         assert "PartitionFilters" in plan and "PushedFilters: [IsNotNull(doc_id)" in plan
     files = lambda d: {r[0] for r in d.select(F.input_file_name()).distinct().collect()}
     assert len(files(point)) == 1 and len(files(VS.read_page(spark, tmpdir_path, 1500, 50).select("doc_id", "features"))) <= 2
+
+
+def test_files_are_read_without_a_record_reader_each(spark, tmpdir_path):
+    import gzip
+    for name, body in [("id_1.txt", b"t\nx\r\ny\n"), ("id_2.txt", b""), ("id_3.txt", b"\xef\xbb\xbft\nnot utf-8 \xff\x00"), ("_hidden.txt", b"h\nh"), ("note.md", b"n")]:
+        with open(os.path.join(tmpdir_path, name), "wb") as f:
+            f.write(body)
+    for name in ("id_4.txt.gz", "id_5.txt.GZ"):
+        with gzip.open(os.path.join(tmpdir_path, name), "wb") as f:
+            f.write(b"zip\nped")
+    files = SF.read_whole_files(spark, tmpdir_path)
+    raw = spark.read.text(tmpdir_path, wholetext=True)  # what the text source gives
+    expect = raw.select(SF.T.doc_id_from_file_name(F.col("_metadata.file_name")).alias("doc_id"), F.hex("value").alias("v")).collect()
+    assert sorted(map(str, files.select("doc_id", F.hex("value").alias("v")).collect())) == sorted(map(str, expect))
+    assert {r["doc_id"]: r["title"] for r in SF.scan_documents(spark, tmpdir_path).where("doc_id > 3").collect()} == {4: "zip", 5: "zip"}
+    for df in (SF.scan_documents(spark, tmpdir_path), SF.scan_doc_lines(spark, tmpdir_path)):
+        assert "FileScan binaryFile" in df._jdf.queryExecution().executedPlan().toString()

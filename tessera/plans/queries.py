@@ -64,13 +64,14 @@ def _encoded(spark, sf, with_doc_fields=True):
 
 
 def _doc_vectors(spark, sf):
-    """Documents -> mean word vectors. The corpus is tokenised once: the
-    term-frequency table feeds both the vocabulary counts and the means."""
+    """Documents -> mean word vectors. The words of each block of documents feed
+    both the vocabulary counts and the choice of vectors a block needs."""
     docs = _t(spark, sf, "documents").select("doc_id", "text")
-    tf = materialize(V.term_frequencies(TX.tokens_long(V.by_document(docs))), "doc-tf")
-    vocab = V.vocabulary_from_counts(V.counts_from_tf(tf))
+    blocks = V.text_blocks(docs)
+    counts = materialize(V.word_counts_by_block(docs, T.tokenize, blocks), "word-counts")
+    vocab = V.vocabulary_from_counts(counts.groupBy("word").agg(F.sum("count").alias("count")))
     w1 = FX.word_vectors(spark, sf, vocab)
-    return V.mean_embedding_tf(docs, tf, w1)
+    return V.mean_embedding_texts(docs, T.tokenize, w1, counts, blocks)
 
 
 def _emb_scored(spark, sf):

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import text as FT
 from tessera.operators import linear as LN
 from tessera.operators import ml as ML
 from tessera.operators import text as TX
@@ -42,6 +43,54 @@ def test_means_match_brute_force_on_odd_rows(spark):
         assert np.allclose(r["features"], want)
 
 
+def _by_texts(docs, vectors, blocks=None):
+    blocks = blocks or V.text_blocks(docs)
+    return V.mean_embedding_texts(docs, FT.tokenize, vectors, V.word_counts_by_block(docs, FT.tokenize, blocks), blocks)
+
+
+def test_text_means_shuffle_texts_and_single_precision(spark):
+    vectors = spark.createDataFrame([("cat", [1.0, 2.5])], "word string, vector array<double>")
+    out = _by_texts(_wide(spark, 100), vectors)
+    moved = [x for x in _plan(out).splitlines() if "REPARTITION_BY" in x]
+    assert moved and "Sort [_kind" in _plan(out) and "_word ASC" not in _plan(out)  # no sort of terms
+    assert "regexp_extract_all" in _plan(out).split("Sort [_kind")[0]  # cut into words after the shuffle
+    assert "array<float>" in _plan(out)
+    assert {tuple(r["features"]) for r in out.collect()} == {(1.0, 2.5)}
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+@pytest.mark.parametrize("exact", [True, False])
+def test_text_means_match_brute_force_on_odd_rows(spark, blocks, exact):
+    rnd = np.random.default_rng(4)
+    ids = [None, None, 1, 1, 1, *range(2, 60)]
+    texts = [" ".join(f"w{w}" for w in rnd.integers(0, 30, rnd.integers(0, 9))) for _ in ids]
+    texts[5:8] = None, "", "unknown words"
+    numbers = [float(np.float32(x)) if exact or w % 2 else float(x) for w, x in enumerate(rnd.normal(size=66))]
+    table = [(f"w{w}", numbers[3 * i:3 * i + 3]) for i, w in enumerate([*range(20), 4, 4])] + [(None, [9.0] * 3)]
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # rows of an id in several batches
+    try:
+        out = _by_texts(docs, spark.createDataFrame(table, "word string, vector array<double>"), blocks).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(str(r["doc_id"]) for r in out) == sorted(map(str, ids))
+    for r in out:
+        met = [v for i, t in zip(ids, texts) if i is not None and i == r["doc_id"] and t for w in t.split() for x, v in table if w == x]
+        assert np.allclose(r["features"], np.mean(met, axis=0) if met else np.zeros(3), atol=1e-14)
+
+
+def test_text_means_without_vectors_or_documents(spark):
+    vectors = spark.createDataFrame([("cat", [1.0, 2.0])], "word string, vector array<double>")
+    assert {tuple(r["features"]) for r in _by_texts(_wide(spark, 9), vectors.where("word = 'x'")).collect()} == {()}
+    assert _by_texts(_wide(spark, 9).limit(0), vectors).count() == 0
+
+
+def test_blocks_follow_the_bytes_of_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(V, "BLOCK_TEXT", 1000)
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 136).alias("text"))
+    assert V.text_blocks(docs) == 40 and V.text_blocks(docs.limit(0)) == V.LEAST_BLOCKS
+
+
 def test_words_are_counted_without_moving_tokens(spark):
     docs = _wide(spark, 100)
     plan = _plan(V.term_frequencies(TX.tokens_long(V.by_document(docs))))

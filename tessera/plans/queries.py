@@ -210,7 +210,8 @@ def get_doc_by_id(spark, sf):
 
 def _stored_vectors(spark, sf):
     path = scratch_path(spark, "vector-store")
-    VS.write_vectors(_doc_vectors(spark, sf), path)
+    # stored first: dealing them by ranges reads them twice
+    VS.write_vectors(materialize(_doc_vectors(spark, sf), "doc-vectors"), path)
     return path
 
 

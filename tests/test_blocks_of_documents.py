@@ -9,6 +9,7 @@ from tessera.operators import linear as LN
 from tessera.operators import ml as ML
 from tessera.operators import text as TX
 from tessera.operators import vectors as V
+from tessera.plans import queries as Q
 
 
 def _plan(df) -> str:
@@ -134,3 +135,13 @@ def test_single_block_layer_is_one_python_step(spark, rows):
     got = {r["id"]: r["h"] for r in out.collect()}
     assert len(got) == rows + 2 and got[rows] is None and got[rows + 1] is None
     assert all(np.allclose(got[i], np.tanh(x[i] @ w.T + np.arange(3))) for i in range(rows))
+
+
+def test_stored_vectors_are_computed_once(spark, monkeypatch, tmpdir_path):
+    _wide(spark, 30).write.parquet(f"{tmpdir_path}/documents.parquet")
+    spark.createDataFrame([(i, [float(i), 1.0], 0) for i in range(4)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmpdir_path}/embeddings.parquet")
+    seen = []
+    monkeypatch.setattr(Q.VS, "write_vectors", lambda vectors, path: seen.append(vectors))
+    Q._stored_vectors(spark, tmpdir_path)
+    # dealing by ranges reads its input twice: it must not be the mean step
+    assert "MapInArrow" not in _plan(seen[0]) and seen[0].count() == 30

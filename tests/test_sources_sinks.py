@@ -197,3 +197,46 @@ def test_files_are_read_without_a_record_reader_each(spark, tmpdir_path):
     assert {r["doc_id"]: r["title"] for r in SF.scan_documents(spark, tmpdir_path).where("doc_id > 3").collect()} == {4: "zip", 5: "zip"}
     for df in (SF.scan_documents(spark, tmpdir_path), SF.scan_doc_lines(spark, tmpdir_path)):
         assert "FileScan binaryFile" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_folder_is_listed_and_dealt_by_the_executors(spark, tmpdir_path, monkeypatch):
+    import gzip
+    plain = os.path.join(tmpdir_path, "plain")
+    os.makedirs(plain)
+    bodies = {"id_1.txt": b"t\nx\r\ny\n", "id_2.txt": b"", "id_3.txt": b"\xef\xbb\xbft\nnot utf-8 \xff\x00", "a b%20;#?é.txt": b"n", "_hidden.txt": b"h", ".dot": b"h",
+              "_k=1.txt": b"seen", "id_6.txt._COPYING_": b"part", **{f"id_{i}.txt": b"t\n" + b"x" * i for i in range(10, 60)}}
+    for name, body in bodies.items():
+        with open(os.path.join(plain, name), "wb") as f:
+            f.write(body)
+    os.makedirs(os.path.join(plain, "_staging"))
+    mixed = os.path.join(tmpdir_path, "mixed [1]")
+    os.makedirs(mixed)
+    with open(os.path.join(mixed, "id_1.txt"), "wb") as f:
+        f.write(b"t\nx")
+    for name in ("id_4.txt.gz", "id_5[x].txt.GZ"):
+        with gzip.open(os.path.join(mixed, name), "wb") as f:
+            f.write(b"zip\nped")
+    nested = os.path.join(tmpdir_path, "nested")
+    W.write_documents(spark.createDataFrame([(i, "t", "x") for i in range(5)], "doc_id long, title string, text string"), nested, fmt="text")
+
+    def rows(path, id_from="file_name"):
+        lines = SF.scan_doc_lines(spark, path, id_from, strip_final_newline=False).select("doc_id", "file_name", "line_no", F.hex("line"))
+        return [sorted(map(str, df.collect())) for df in (SF.read_whole_files(spark, path, id_from), SF.scan_documents(spark, path, id_from), lines)]
+
+    literal = mixed.replace("[", "\\[")
+    before = [rows(plain), rows(f"file:{plain}/"), rows(nested, "partition")]
+    assert [len(x) for x in before[0][:2]] == [54, 54] and len(before[2][0]) == 5
+    few = rows(literal)
+    monkeypatch.setattr(SF, "FILES_INDEXED", 2, raising=False)
+    monkeypatch.setattr(SF, "FILES_PER_TASK", 10, raising=False)
+    assert [rows(plain), rows(f"file:{plain}/"), rows(nested, "partition")] == before
+    for df in (SF.scan_documents(spark, plain), SF.scan_doc_lines(spark, plain)):
+        assert "FileScan" not in df._jdf.queryExecution().executedPlan().toString() and df.rdd.getNumPartitions() >= 6
+    assert rows(literal) == few and len(few[0]) == 3
+    os.rename(mixed, os.path.join(tmpdir_path, "mixed"))
+    path = lambda df: df.select("_file.file_path", "_file.file_name")
+    dealt = sorted(map(tuple, path(SF._whole_files(spark, plain)).collect()))
+    assert dealt == sorted(map(tuple, path(spark.read.text(plain, wholetext=True).select(F.col("_metadata").alias("_file"))).collect()))
+    many = SF.read_whole_files(spark, os.path.join(tmpdir_path, "mixed"))
+    assert sorted(map(str, many.collect())) == few[0]
+    assert "FileScan binaryFile" not in many._jdf.queryExecution().executedPlan().toString()

@@ -45,13 +45,13 @@ class DocFilesWriter(DataSourceWriter):
 
     def write(self, iterator: Iterator) -> Staged:
         fs, root = file_system(self.path)
-        folder, n, last = f"{self._staging(root)}/{uuid.uuid4().hex}", 0, None
+        folder, n = f"{self._staging(root)}/{uuid.uuid4().hex}", 0
         fs.create_dir(folder, recursive=True)
         for doc_id, body in iterator:
-            if doc_id == last:
+            file = f"{folder}/{P.DOC_FILE_PREFIX}{doc_id}{P.DOC_FILE_SUFFIX}"
+            if fs.get_file_info(file).type != pafs.FileType.NotFound:
                 raise ValueError(f"two documents with id {doc_id}: they would share a file")
-            last = doc_id
-            with fs.open_output_stream(f"{folder}/{P.DOC_FILE_PREFIX}{doc_id}{P.DOC_FILE_SUFFIX}") as out:
+            with fs.open_output_stream(file) as out:
                 out.write(body.encode("utf-8"))
             n += 1
         return Staged(folder, n)

@@ -26,8 +26,9 @@ def write_documents(docs: DataFrame, path: str, fmt: str = "parquet",
     """Parquet keyed (sorted within files) by ``doc_id`` by default.
 
     ``fmt="files"`` writes one file per document, ``id_<id>.txt``, holding title +
-    newline + text; rows without id, title or text are left out, a repeated id fails,
-    and nothing is left of a failed job. The files are moved to their place by the
+    newline + text; rows without id, title or text are left out, a repeated id fails
+    (found by a pass over the ids, so ``docs`` has to give the same rows twice), and
+    nothing is left of a failed job. The files are moved to their place by the
     driver at the end (one rename each), so this is for exports.
     ``fmt="text"`` writes one folder per document (``doc_id=<id>``), for small exports
     only.
@@ -36,11 +37,12 @@ def write_documents(docs: DataFrame, path: str, fmt: str = "parquet",
         docs.sortWithinPartitions(id_col).write.mode("overwrite").parquet(path)
     elif fmt == "files":
         body = T.compose_document(title_col, text_col) if title_col else F.col(text_col)
-        whole = docs.dropna(subset=[id_col, text_col, *([title_col] if title_col else [])])
+        whole = docs.dropna(subset=[id_col, text_col, *([title_col] if title_col else [])]).select(F.col(id_col).cast("bigint").alias("doc_id"), body.alias("body"))
+        twice = whole.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id").first()  # ids are shuffled, texts are not
+        if twice:
+            raise ValueError(f"two documents with id {twice['doc_id']}: they would share a file")
         docs.sparkSession.dataSource.register(DocFilesSource)
-        (whole.select(F.col(id_col).cast("bigint").alias("doc_id"), body.alias("body"))
-              .repartition("doc_id").sortWithinPartitions("doc_id")  # equal ids meet in one task
-              .write.mode("overwrite").format("doc_files").save(path))
+        whole.write.mode("overwrite").format("doc_files").save(path)
     elif fmt == "text":
         body = T.compose_document(title_col, text_col) if title_col else F.col(text_col)
         (docs.select(id_col, body.alias("value"))

@@ -240,3 +240,14 @@ def test_large_folder_is_listed_and_dealt_by_the_executors(spark, tmpdir_path, m
     many = SF.read_whole_files(spark, os.path.join(tmpdir_path, "mixed"))
     assert sorted(map(str, many.collect())) == few[0]
     assert "FileScan binaryFile" not in many._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_not_shuffled_to_write_files(spark, tmpdir_path):
+    docs = spark.range(0, 4000, 1, 5).selectExpr("id AS doc_id", "'t' AS title", "repeat(sha2(string(id), 512), 20) AS text")
+    tracker, group = spark.sparkContext.statusTracker(), "write-files"
+    spark.sparkContext.setJobGroup(group, group)
+    W.write_documents(docs, os.path.join(tmpdir_path, "files"), fmt="files")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    last = tracker.getJobInfo(max(tracker.getJobIdsForGroup(group)))  # the one that writes
+    assert len(last.stageIds) == 1
+    assert len(os.listdir(os.path.join(tmpdir_path, "files"))) == 4000
